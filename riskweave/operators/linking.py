@@ -204,23 +204,30 @@ def _settle(limit: int):
     return run
 
 
+def _in_order(df: DataFrame) -> DataFrame:
+    """Whole (text, part) runs per partition, in order. Hashing them to one value keeps this
+    shuffle apart from any the joins before it asked for, which may be read out of place."""
+    return (
+        df.withColumn("slot", F.xxhash64("text", "part"))
+        .repartition("slot")
+        .sortWithinPartitions("text", "part", "i")
+        .drop("slot")
+    )
+
+
 def _settle_round(marked: DataFrame, limit: int) -> DataFrame:
     """One pass over the copies in order, given what is known about outside claims."""
-    broken = marked.where("parts > 1")
     leaves = (
-        broken.repartition("text", "part")
-        .sortWithinPartitions("text", "part", "i")
+        _in_order(marked.where("parts > 1"))
         .select("text", "part", "mark")
         .mapInPandas(_transfer(limit), "text string, part int, leaves array<int>")
     )
     enter = (
         leaves.repartition("text").sortWithinPartitions("text", "part").mapInPandas(_entering(), "text string, part int, enter int")
     )
+    entered = marked.join(enter, ["text", "part"], "left").withColumn("enter", F.coalesce("enter", F.lit(0)))
     return (
-        marked.join(enter, ["text", "part"], "left")
-        .withColumn("enter", F.coalesce("enter", F.lit(0)))
-        .repartition("text", "part")
-        .sortWithinPartitions("text", "part", "i")
+        _in_order(entered)
         .select("i", "text", "part", "parts", "mark", "enter")
         .mapInPandas(_settle(limit), "i bigint, text string, part int, parts bigint, anchor boolean")
     )

@@ -22,12 +22,15 @@ def rule_max(df: DataFrame) -> DataFrame:
     return df.withColumn("norm_rule_score", row_max(raw_columns(df)))
 
 
-def normalize_models(df: DataFrame) -> DataFrame:
-    """Model scores on 0-100: a batch whose maximum is at most 1 is taken for probabilities."""
+def normalize_models(df: DataFrame, tops: dict[str, Column] | None = None) -> DataFrame:
+    """Model scores on 0-100: a batch whose maximum is at most 1 is taken for probabilities.
+
+    ``tops`` gives maxima known from elsewhere; the others take one pass over the batch."""
     present = [c for c in MODEL_SCORES if c in df.columns]
     scaled = {}
     for name in present:
-        top = df.agg(F.max(name).alias("top")).scalar()
+        top = (tops or {}).get(name)
+        top = df.agg(F.max(name).alias("top")).scalar() if top is None else top
         scaled[name] = F.when(top <= 1.0, F.col(name) * 100).otherwise(F.col(name))
     return ensure_columns(df.withColumns(scaled) if scaled else df, {c: 0.0 for c in MODEL_SCORES})
 
@@ -43,9 +46,9 @@ def final_score(cfg: RiskConfig) -> Column:
     return clip(round_half_even(weighted, 2), 0, 100)
 
 
-def score_risk(df: DataFrame, cfg: RiskConfig) -> DataFrame:
+def score_risk(df: DataFrame, cfg: RiskConfig, tops: dict[str, Column] | None = None) -> DataFrame:
     """Weighted score and band from the signals already on the rows."""
-    scored = rule_max(normalize_models(df)).withColumn("final_risk_score", final_score(cfg))
+    scored = rule_max(normalize_models(df, tops)).withColumn("final_risk_score", final_score(cfg))
     return scored.withColumn("risk_band", risk_band(F.col("final_risk_score"), cfg)).drop("norm_rule_score")
 
 
