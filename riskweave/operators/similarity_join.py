@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import insert_delete_distance
+from ..session import shuffle_width
 
 
 def edit_budget(total: Column, threshold: float) -> Column:
@@ -80,7 +81,9 @@ def _probes(texts: DataFrame, threshold: float) -> DataFrame:
 def similar_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b, score) of distinct texts with score >= threshold; each pair once.
 
-    ``texts`` has one column ``text`` of distinct values."""
+    ``texts`` has one column ``text`` of distinct values. They are few bytes for the pieces
+    they turn into, so they are spread by number, not by size."""
+    texts = texts.repartition(shuffle_width(texts.sparkSession), "text")
     index = _pieces(texts, threshold).withColumnRenamed("text", "a")
     probe = _probes(texts, threshold).withColumnRenamed("text", "b")
     proposed = index.join(probe, ["short", "long", "piece", "body"]).where(

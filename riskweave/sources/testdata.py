@@ -56,8 +56,15 @@ def _name(s: Column) -> Column:
     return F.when(s % 10 == 1, F.concat_ws(" ", last, first)).when(s % 10 == 2, F.substring(full, 1, 14)).otherwise(full)
 
 
+# fixed values: the columns used, so that no job is spent on finding the schema
+COLUMNS = {
+    "customer": "c_custkey bigint, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def labelled_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +82,7 @@ def labelled_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     orders = (
         read_table(spark, sf_dir, "orders")
-        .select("o_orderkey", "o_custkey")
-        .join(customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"), "left")
+        .join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
         .withColumns({"peer_group": _lookup(SEGMENT_GROUPS, F.col("c_mktsegment")), "_r0": drawn.cast("long")})
         .withColumn("_r", F.when(F.col("_r0") == s, (F.col("_r0") + 1) % n).otherwise(F.col("_r0")))
         .withColumn("_avg", _lookup(GROUP_AVERAGE, F.col("peer_group")))
