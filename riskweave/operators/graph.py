@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import RiskConfig
 from ..functions.numeric import clip, round_half_even
 from ..schema import entity_column
-from ..session import materialize
+from ..session import materialize, together
 from .skew import heaviest, repeated, salted, skew_join
 
 
@@ -206,8 +206,12 @@ def features_of(edges: DataFrame, cfg: RiskConfig, key: str = "global_entity_id"
     """One row per node with all network features."""
     edges = materialize(edges)
     degrees = materialize(graph_degrees(edges))
-    risk = network_risk(degrees, cycle_nodes(edges, degrees, cfg.cycle_scan_node_limit))
-    importance = node_importance(edges, degrees, cfg).withColumnRenamed("score", "network_pagerank")
+    cycles, importance = together(
+        edges.sparkSession,
+        lambda: materialize(cycle_nodes(edges, degrees, cfg.cycle_scan_node_limit)),
+        lambda: node_importance(edges, degrees, cfg).withColumnRenamed("score", "network_pagerank"),
+    )
+    risk = network_risk(degrees, cycles)
     return risk.join(importance, "node", "left").select(
         F.col("node").alias(key), "network_centrality", "network_pagerank", "is_in_cycle", "network_raw"
     )

@@ -104,21 +104,24 @@ class Forest:
         shift = start[table["tree"].to_numpy()]
         split = np.maximum(table["feature"].to_numpy(), 0)
         cut = table["threshold"].to_numpy()
-        left, right = table["left"].to_numpy() + shift, table["right"].to_numpy() + shift
+        below = table["left"].to_numpy() + shift
+        above = table["right"].to_numpy() + shift
+        child = np.column_stack([below, above]).ravel()
         depth = table["depth"].to_numpy()
         norm = max(expected_depth(self.sample), 1.0)
+        width = len(self.names)
 
         @pandas_udf(T.DoubleType())
         def walk(*columns: pd.Series) -> pd.Series:
             data = np.column_stack([c.to_numpy(dtype=float) for c in columns])
             out = np.empty(len(data))
-            for lo in range(0, len(data), 4096):
-                block = data[lo : lo + 4096]
+            for lo in range(0, len(data), 1024):
+                block = data[lo : lo + 1024]
+                values, first = block.ravel(), (np.arange(len(block)) * width)[:, None]
                 at = np.broadcast_to(start, (len(block), len(start)))
-                rows = np.arange(len(block))[:, None]
                 for _ in range(MAX_DEPTH):
-                    at = np.where(block[rows, split[at]] <= cut[at], left[at], right[at])
-                out[lo : lo + 4096] = -np.exp2(-depth[at].mean(axis=1) / norm)
+                    at = child.take(2 * at + (values.take(first + split.take(at)) > cut.take(at)))
+                out[lo : lo + 1024] = -np.exp2(-depth.take(at).mean(axis=1) / norm)
             return pd.Series(np.rint(out * SCORE_UNITS) / SCORE_UNITS)
 
         return walk(*[feature(df, n) for n in self.names])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..config import RiskConfig
 from ..functions.similarity import comparison_form
-from ..session import materialize, send_by_value
+from ..session import materialize, send_by_value, together
 from .similarity_join import similar_pairs
 from .skew import heaviest, skew_join
 
@@ -275,9 +275,12 @@ def anchors(members: DataFrame, matches: DataFrame, limit: int) -> DataFrame:
 
 def fuzzy_claims(numbered: DataFrame, cfg: RiskConfig) -> tuple[DataFrame, DataFrame]:
     """Claims that would be made (i, j, score) as members with their next copies, and matches."""
-    members = materialize(copies(numbered, cfg.fuzzy_limit))
-    texts = members.select("text").distinct()
-    pairs = materialize(similar_pairs(texts, cfg.fuzzy_threshold))
+    texts = numbered.select("text").distinct()
+    members, pairs = together(
+        numbered.sparkSession,
+        lambda: materialize(copies(numbered, cfg.fuzzy_limit)),
+        lambda: materialize(similar_pairs(texts, cfg.fuzzy_threshold)),
+    )
     return members, materialize(cross_matches(members, pairs, cfg.fuzzy_limit))
 
 

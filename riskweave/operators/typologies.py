@@ -13,7 +13,7 @@ from ..config import RiskConfig
 from ..functions.rules import integration_mismatch
 from ..functions.temporal import SECOND_US, as_micros
 from ..schema import ensure_columns
-from ..session import materialize
+from ..session import materialize, together
 from .skew import heaviest, skew_join
 
 
@@ -136,8 +136,9 @@ def score_typologies(df: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Detect and apply all scenarios. Hub flags use the accounts, not the resolved entities.
 
     The flagged accounts are written down once: each list serves a join and its skew check."""
-    hubs = materialize(smurfing_hubs(df, cfg))
-    returned = u_turn_senders(df, cfg)
+    hubs, returned = together(
+        df.sparkSession, lambda: materialize(smurfing_hubs(df, cfg)), lambda: materialize(u_turn_senders(df, cfg))
+    )
     sender_marks = materialize(
         hubs.select(F.col("account_id").alias("sender_id"), F.lit(True).alias("_hub"), F.lit(False).alias("_turn"), "out_rows")
         .unionByName(returned.select("sender_id", F.lit(False).alias("_hub"), F.lit(True).alias("_turn"), "out_rows"))

@@ -24,7 +24,7 @@ from ..operators.rules import night_flag, score_rules
 from ..operators.scoring import score_risk
 from ..operators.skew import heaviest, hot_keys, skew_join
 from ..operators.typologies import smurfing_hubs, typology_scores, u_turn_senders
-from ..session import materialize
+from ..session import materialize, together
 
 
 @dataclass
@@ -81,15 +81,11 @@ def entity_edges(df: DataFrame, mapping: DataFrame, cfg: RiskConfig) -> DataFram
 
 
 def account_facts(
-    df: DataFrame, cfg: RiskConfig, mapping: DataFrame, hubs: DataFrame, baselines: DataFrame | None = None
+    cfg: RiskConfig, mapping: DataFrame, senders: DataFrame, hubs: DataFrame, turns: DataFrame, entities: DataFrame
 ) -> DataFrame:
     """One row per sending account: entity, network features, baseline, scenario flags, rows."""
-    senders = sender_moments(df)
-    statistics = entity_statistics(senders, mapping) if baselines is None else baselines
-    network = graph.features_of(entity_edges(df, mapping, cfg), cfg)
-    entities = network.join(statistics, "global_entity_id", "full")
     hub = hubs.select(F.col("account_id").alias("sender_id"), F.lit(True).alias("_sender_hub"))
-    turn = u_turn_senders(df, cfg).select("sender_id", F.lit(True).alias("_u_turn"))
+    turn = turns.select("sender_id", F.lit(True).alias("_u_turn"))
     accounts = (
         mapping.join(senders.select("sender_id", "rows"), "sender_id")
         .join(hub, "sender_id", "left")
@@ -120,9 +116,21 @@ def score_batch(
     """Every input row with its entity, all signals, final_risk_score and risk_band.
 
     ``baselines`` replaces the batch's own entity statistics by stored ones."""
-    mapping = materialize(account_entities(df, cfg))
-    hubs = materialize(smurfing_hubs(df, cfg))
-    accounts = materialize(account_facts(df, cfg, mapping, hubs, baselines))
+    spark = df.sparkSession
+    mapping, hubs, turns, senders = together(
+        spark,
+        lambda: materialize(account_entities(df, cfg)),
+        lambda: materialize(smurfing_hubs(df, cfg)),
+        lambda: materialize(u_turn_senders(df, cfg)),
+        lambda: materialize(sender_moments(df)),
+    )
+    network, statistics = together(
+        spark,
+        lambda: graph.features_of(entity_edges(df, mapping, cfg), cfg),
+        lambda: materialize(entity_statistics(senders, mapping)) if baselines is None else baselines,
+    )
+    entities = network.join(statistics, "global_entity_id", "full")
+    accounts = materialize(account_facts(cfg, mapping, senders, hubs, turns, entities))
 
     rows, tops = add_models(df, models or Models())
     rows = score_rules(night_flag(rows), cfg)

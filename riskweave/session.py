@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import sys
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
+from typing import Any
 
-from pyspark import cloudpickle
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
+_planner = Lock()
+
+
 def send_by_value(module: str) -> None:
     """Ship a module's functions inside the task, so executors need no copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
@@ -40,12 +47,19 @@ def materialize(df: DataFrame, partitioned_by: list[str] | None = None) -> DataF
     ensure_checkpoint_dir(spark)
     if partitioned_by is None:
         return df.checkpoint(eager=True)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return df.repartition(shuffle_width(spark), *partitioned_by).checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    with _planner:
+        adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            return df.repartition(shuffle_width(spark), *partitioned_by).checkpoint(eager=True)
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def together(spark: SparkSession, *work: Callable[[], Any]) -> list[Any]:
+    """Submit independent jobs at the same time, so one fills the cores another leaves idle."""
+    with ThreadPoolExecutor(len(work)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(w)) for w in work]]
 
 
 def shuffle_width(spark: SparkSession) -> int:
