@@ -5,7 +5,7 @@ has; only the node table (at most 511 nodes a tree) reaches the driver."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -16,13 +16,14 @@ from pyspark.sql.functions import pandas_udf
 
 from ..config import RiskConfig
 from ..functions.numeric import clip, round_half_even
-from ..session import send_by_value
+from ..session import send_by_value, shuffle_width
 from .features import ANOMALY_FEATURES, feature
 
 send_by_value(__name__)
 
 SAMPLE_ROWS = 256
 MAX_DEPTH = 8
+SMALL_BATCH = 10_000_000
 SCORE_UNITS = 1_000_000
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, depth double"
 
@@ -84,16 +85,24 @@ def sample_trees(df: DataFrame, names: tuple[str, ...], trees: int, rows: int, s
             .withColumn("draw", F.xxhash64("draw", "tree"))
             .where(F.pmod("draw", F.lit(1 << 30)) < each * unit)
         )
+    # a few thousand rows, but a tree's worth of work each: placed by number, not by size
+    drawn = drawn.repartition(min(trees, shuffle_width(df.sparkSession)), "tree")
     first = Window.partitionBy("tree").orderBy("draw", *names)
     return drawn.withColumn("place", F.row_number().over(first)).where(F.col("place") <= SAMPLE_ROWS).drop("place")
 
 
+def _spread(df: DataFrame, rows: int) -> DataFrame:
+    """A small batch often is one file and would be scored by one task; a large one has splits enough."""
+    return df.repartition(shuffle_width(df.sparkSession)) if rows <= SMALL_BATCH else df
+
+
 @dataclass(frozen=True)
 class Forest:
     names: tuple[str, ...]
     nodes: pd.DataFrame
     trees: int
     sample: int
+    rows: int
     offset: float = -0.5
     lowest: float = -1.0
 
@@ -129,7 +138,7 @@ class Forest:
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ml_anomaly_score: 50 at the contamination cut-off, higher is stranger."""
         raw = (F.lit(0.5) - (self.normality(df) - F.lit(self.offset))) * 100
-        return df.withColumn("ml_anomaly_score", round_half_even(clip(raw, 0, 100), 2))
+        return _spread(df, self.rows).withColumn("ml_anomaly_score", round_half_even(clip(raw, 0, 100), 2))
 
     @property
     def top_score(self) -> float:
@@ -167,9 +176,10 @@ def fit_forest(df: DataFrame, cfg: RiskConfig, names: tuple[str, ...] = ANOMALY_
     # a tiny batch may leave some trees without rows
     grown = {t: k for k, t in enumerate(sorted(nodes["tree"].unique()))}
     nodes["tree"] = nodes["tree"].map(grown)
-    forest = Forest(names, nodes, len(grown), min(SAMPLE_ROWS, rows))
-    offset, lowest = percentile_of(df.select(forest.normality(df).alias("s")), "s", cfg.contamination)
-    return Forest(names, nodes, len(grown), forest.sample, offset, lowest)
+    forest = Forest(names, nodes, len(grown), min(SAMPLE_ROWS, rows), rows)
+    known = _spread(df.select(*[feature(df, n).alias(n) for n in names]), rows)
+    offset, lowest = percentile_of(known.select(forest.normality(known).alias("s")), "s", cfg.contamination)
+    return replace(forest, offset=offset, lowest=lowest)
 
 
 def score_anomalies(df: DataFrame, cfg: RiskConfig) -> DataFrame:
