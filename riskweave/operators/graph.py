@@ -166,7 +166,7 @@ def triangles(edges: DataFrame, degrees: DataFrame) -> DataFrame:
         named = sizes.select(F.col("node").alias(end), F.col("degree").alias(f"{end}_degree"))
         pairs = skew_join(pairs, named, end, other, "inner", hot.select(F.col("node").alias(end)))
     up = F.struct("src_degree", "src") < F.struct("dst_degree", "dst")
-    outgoing = pairs.where(up).select(F.col("src").alias("low"), F.col("dst").alias("out"), F.col("dst_degree").alias("out_d"))
+    outgoing = pairs.where(up).select(F.col("src").alias("low"), F.col("dst").alias("out"))
     incoming = pairs.where(~up).select(F.col("dst").alias("low"), F.col("src").alias("back"))
     wedges = outgoing.join(incoming, "low").where(F.col("out") != F.col("back")).select("low", "out", "back")
     closing = edges.select(F.col("src").alias("out"), F.col("dst").alias("back"))

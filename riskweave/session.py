@@ -62,5 +62,10 @@ def together(spark: SparkSession, *work: Callable[[], Any]) -> list[Any]:
         return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(w)) for w in work]]
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from ..session import path_exists
 
 
 def moments(df: DataFrame, key: str, value: str = "amount") -> DataFrame:
@@ -53,10 +54,10 @@ def save_baselines(table: DataFrame, path: str, feature: str, version: int) -> N
 
 def load_baselines(spark: SparkSession, path: str, feature: str) -> DataFrame | None:
     """The newest version of a feature's table, or None."""
-    try:
-        stored = spark.read.parquet(f"{path}/feature_name={feature}")
-    except AnalysisException:
+    folder = f"{path}/feature_name={feature}"
+    if not path_exists(spark, folder):
         return None
+    stored = spark.read.parquet(folder)
     newest = stored.agg(F.max("version")).first()[0]
     return stored.where(F.col("version") == newest).drop("version")
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
-from pyspark.sql.utils import AnalysisException
+
+from ..session import path_exists
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -13,8 +14,6 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(spark: SparkSession, path: str) -> PipelineModel | None:
     """The stored model; None where nothing is stored. A damaged model is an error, not a zero score."""
-    try:
-        spark.read.text(f"{path}/metadata").limit(1).count()
-    except AnalysisException:
+    if not path_exists(spark, f"{path}/metadata"):
         return None
     return PipelineModel.load(path)

@@ -10,7 +10,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
+
+from ..session import path_exists
 
 EPOCH = datetime(1970, 1, 1)
 STATE_VERSION = "1"
@@ -34,11 +35,10 @@ def initial_state() -> Row:
 
 def load_state(spark: SparkSession, path: str) -> Row:
     """The latest state; a missing or unreadable table means a full scan from the epoch."""
-    try:
-        latest = spark.read.schema(STATE).json(path, mode="DROPMALFORMED").where("seq IS NOT NULL").orderBy(F.desc("seq")).first()
-    except AnalysisException:
-        latest = None
-    return latest or initial_state()
+    if not path_exists(spark, path):
+        return initial_state()
+    rows = spark.read.schema(STATE).json(path, mode="DROPMALFORMED").where("seq IS NOT NULL")
+    return rows.orderBy(F.desc("seq")).first() or initial_state()
 
 
 def _append(spark: SparkSession, path: str, values: tuple) -> None:

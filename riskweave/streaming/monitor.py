@@ -15,10 +15,11 @@ from pyspark.sql.types import StructType
 
 from ..config import RiskConfig
 from ..functions.rules import integration_mismatch, zscore_score
-from ..operators.behavior import STATS
+from ..operators.behavior import STATS, with_baselines
 from ..operators.rules import night_flag, score_rules
 from ..operators.sliding import MONEY_UNITS, money_units
 from ..plans.score import fit_models, score_batch
+from ..session import path_exists
 from ..sources import state
 from ..sources.transactions import parse_timestamp
 
@@ -62,11 +63,9 @@ def aggregation_windows(stream: DataFrame, cfg: RiskConfig) -> DataFrame:
 
 
 def behavior_against_baselines(stream: DataFrame, baselines: DataFrame, cfg: RiskConfig, key: str = "sender_id") -> DataFrame:
-    """z-score against stored baselines: a stream-static join."""
-    joined = stream.join(baselines, key, "left")
-    return joined.withColumn(
-        "behavioral_raw", zscore_score(F.col("amount"), *[F.col(c) for c in STATS], cfg)
-    ).drop(*STATS)
+    """z-score against stored baselines: a stream-static join, whose counts name the hot accounts."""
+    score = zscore_score(F.col("amount"), *[F.col(c) for c in STATS], cfg)
+    return with_baselines(stream, baselines, key).withColumn("behavioral_raw", score).drop(*STATS)
 
 
 def score_micro_batch(
@@ -85,7 +84,7 @@ def score_micro_batch(
     def handle(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         done = f"{output}/run={batch_id:012d}"
-        if _exists(session, f"{done}/_SUCCESS"):
+        if path_exists(session, f"{done}/_SUCCESS"):
             return
         if strict_highwater and state_path is not None:
             batch = state.delta(batch, state.load_state(session, state_path).last_run_timestamp)
@@ -100,11 +99,6 @@ def score_micro_batch(
     return handle
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
-
-
 def _overwrite(df: DataFrame, path: str) -> None:
     """An unfinished folder of the same batch id is replaced."""
     df.write.mode("overwrite").parquet(path)
