@@ -5,6 +5,10 @@ edits cannot touch all of them, so one piece is found unchanged in the longer te
 further from its place than the edits around it can move it. Joining on (both lengths,
 piece number, piece text) therefore misses no pair. What it proposes too much is removed
 by Spark's own bounded levenshtein first and by the exact distance last.
+
+A piece that very many texts hold ("smith") would propose all their pairs. For such a piece
+the join asks for a second one: among the piece in question at most p edits lie before it
+and at most D - p behind it, so one side is cut again into one more part than its edits.
 """
 
 from __future__ import annotations
@@ -13,7 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import insert_delete_distance
-from ..session import shuffle_width
+from ..session import materialize, shuffle_width
+from .skew import HOT_KEY_LIMIT
+
+COMMON_PIECE_TEXTS = 20_000
+KEY = ["short", "long", "piece", "body"]
 
 
 def edit_budget(total: Column, threshold: float) -> Column:
@@ -26,6 +34,13 @@ def _piece_bounds(short: Column, pieces: Column, i: Column) -> tuple[Column, Col
     return start, (F.floor((i + 1) * short / pieces).cast("int") - start)
 
 
+def _uncut(rows: DataFrame) -> DataFrame:
+    """Too short to cut: every text of that length is a candidate."""
+    return rows.where(F.col("pieces") > F.col("short")).select(
+        "text", "short", "long", F.lit(-1).alias("piece"), F.lit("").alias("body"), F.lit(0).alias("at")
+    )
+
+
 def _pieces(texts: DataFrame, threshold: float) -> DataFrame:
     """Index side: the pieces of each text for every length of a longer partner."""
     t = threshold / 100.0
@@ -38,12 +53,8 @@ def _pieces(texts: DataFrame, threshold: float) -> DataFrame:
     )
     cut = rows.where(F.col("pieces") <= F.col("short")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("budget"))))
     start, size = _piece_bounds(F.col("short"), F.col("pieces"), F.col("piece"))
-    cut = cut.select("text", "short", "long", "piece", F.substring("text", start + 1, size).alias("body"))
-    # too short to cut: every text of that length is a candidate
-    whole = rows.where(F.col("pieces") > F.col("short")).select(
-        "text", "short", "long", F.lit(-1).alias("piece"), F.lit("").alias("body")
-    )
-    return cut.unionByName(whole)
+    cut = cut.select("text", "short", "long", "piece", F.substring("text", start + 1, size).alias("body"), start.alias("at"))
+    return cut.unionByName(_uncut(rows))
 
 
 def _probes(texts: DataFrame, threshold: float) -> DataFrame:
@@ -70,12 +81,68 @@ def _probes(texts: DataFrame, threshold: float) -> DataFrame:
         .where(F.col("low") <= F.col("high"))
         .withColumn("at", F.explode(F.sequence(F.col("start") + F.col("low"), F.col("start") + F.col("high"))))
         .where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("long")))
-        .select("text", "short", "long", "piece", F.substring("text", F.col("at") + 1, F.col("size")).alias("body"))
+        .select("text", "short", "long", "piece", F.substring("text", F.col("at") + 1, F.col("size")).alias("body"), "at")
     )
-    whole = rows.where(F.col("pieces") > F.col("short")).select(
-        "text", "short", "long", F.lit(-1).alias("piece"), F.lit("").alias("body")
+    return cut.unionByName(_uncut(rows))
+
+
+def common_pieces(index: DataFrame, floor: int) -> DataFrame:
+    """Pieces held by very many texts. Few by their nature, and capped: beyond the cap a piece
+    stays as it is, which proposes more but loses nothing."""
+    return (
+        index.where("piece >= 0")
+        .groupBy(*KEY)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= floor)
+        .orderBy(F.desc("n"), *KEY)
+        .limit(HOT_KEY_LIMIT)
+        .select(*KEY, F.lit(True).alias("common"))
     )
-    return cut.unionByName(whole)
+
+
+def _second_pieces(df: DataFrame, common: DataFrame, threshold: float, probing: bool) -> DataFrame:
+    """Add (part, mark): a second piece for rows of a common piece, a constant for all others.
+
+    Which side is cut follows from the lengths and the piece number, so both sides of the
+    join agree on it: the side whose parts come out longer."""
+    short, long, piece, at = (F.col(c) for c in ("short", "long", "piece", "at"))
+    budget = edit_budget(short + long, threshold)
+    start, size = _piece_bounds(short, budget + 1, piece)
+    tail = short - start - size
+    before, behind = piece, budget - piece
+    left = start * (behind + 1) >= tail * (before + 1)
+    edits = F.when(left, before).otherwise(behind)
+    room = F.when(left, start).otherwise(tail)
+    origin = F.when(left, F.lit(0)).otherwise(start + size)
+    # insertions minus deletions on the side that is cut, and the shift of its first letter
+    shift = at - start
+    net = F.when(left, shift).otherwise(long - short - shift)
+    base = F.when(left, F.lit(0)).otherwise(shift)
+
+    def cut(part: Column) -> tuple[Column, Column]:
+        low = F.floor(part * room / (edits + 1)).cast("int")
+        return low, (F.floor((part + 1) * room / (edits + 1)).cast("int") - low)
+
+    def mark(part: Column, place: Column, width: Column) -> Column:
+        return F.struct(part.alias("part"), F.substring("text", place + 1, width).alias("mark"))
+
+    def indexed(part: Column) -> Column:
+        low, width = cut(part)
+        return mark(part, origin + low, width)
+
+    def probed(part: Column) -> Column:
+        low, width = cut(part)
+        least = F.greatest(-part, net - (edits - part), -F.floor((edits - net) / 2).cast("int"))
+        most = F.least(part, net + (edits - part), F.floor((edits + net) / 2).cast("int"))
+        moves = F.when(least <= most, F.sequence(least, most)).otherwise(F.array().cast("array<int>"))
+        inside = F.filter(moves, lambda e: origin + low + base + e >= 0)
+        return F.transform(inside, lambda e: mark(part, origin + low + base + e, width))
+
+    parts = F.sequence(F.lit(0), edits)
+    second = F.flatten(F.transform(parts, probed)) if probing else F.transform(parts, indexed)
+    first_only = F.array(F.struct(F.lit(-1).alias("part"), F.lit("").alias("mark")))
+    marked = df.join(F.broadcast(common), KEY, "left")
+    return marked.select("text", *KEY, F.inline(F.when(F.col("common"), second).otherwise(first_only)))
 
 
 def similar_pairs(texts: DataFrame, threshold: float) -> DataFrame:
@@ -83,10 +150,18 @@ def similar_pairs(texts: DataFrame, threshold: float) -> DataFrame:
 
     ``texts`` has one column ``text`` of distinct values. They are few bytes for the pieces
     they turn into, so they are spread by number, not by size."""
-    texts = texts.repartition(shuffle_width(texts.sparkSession), "text")
-    index = _pieces(texts, threshold).withColumnRenamed("text", "a")
-    probe = _probes(texts, threshold).withColumnRenamed("text", "b")
-    proposed = index.join(probe, ["short", "long", "piece", "body"]).where(
+    spark = texts.sparkSession
+    texts = materialize(texts.repartition(shuffle_width(spark), "text"))
+    floor = int(spark.conf.get("spark.riskweave.commonPieceTexts", str(COMMON_PIECE_TEXTS)))
+    pieces = _pieces(texts, threshold)
+    probes = _probes(texts, threshold)
+    if texts.count() >= floor:
+        common = materialize(common_pieces(pieces, floor))
+        pieces = _second_pieces(pieces, common, threshold, probing=False)
+        probes = _second_pieces(probes, common, threshold, probing=True)
+    index, probe = pieces.withColumnRenamed("text", "a"), probes.withColumnRenamed("text", "b")
+    on = [c for c in (*KEY, "part", "mark") if c in index.columns]
+    proposed = index.drop("at").join(probe.drop("at"), on).where(
         (F.col("a") != F.col("b")) & ((F.col("short") < F.col("long")) | (F.col("a") < F.col("b")))
     )
     total = F.col("short") + F.col("long")

@@ -64,8 +64,16 @@ def test_five_matches_per_anchor(spark):
     assert got == {f"u{k:03d}": "u000" for k in range(1, 6)}
 
 
+@pytest.fixture(params=["2", "1000000"])
+def common(request, spark):
+    """Nearly every piece taken for a common one, or none."""
+    spark.conf.set("spark.riskweave.commonPieceTexts", request.param)
+    yield
+    spark.conf.unset("spark.riskweave.commonPieceTexts")
+
+
 @pytest.mark.parametrize("threshold", [85.0, 70.0, 55.0])
-def test_similar_pairs_miss_nothing(spark, threshold):
+def test_similar_pairs_miss_nothing(spark, threshold, common):
     rnd = random.Random(1)
     words = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 9))) for _ in range(160)})
     got = [frozenset((r.a, r.b)) for r in similar_pairs(spark.createDataFrame([(w,) for w in words], "text string"), threshold).collect()]
