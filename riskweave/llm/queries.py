@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .packing import pack
 from .token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,14 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *columns)
 
 
+@query("op6_packing")
+def op6_packing(spark, sf_dir):
+    pieces = pack(_documents(spark, sf_dir, "source", "text"), public_tokenizers.path(TOKENIZER))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 @query("op9_token_counts")
 def op9_token_counts(spark, sf_dir):
     counts = count_tokens(_documents(spark, sf_dir, "text"), public_tokenizers.path(TOKENIZER))
