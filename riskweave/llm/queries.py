@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import quality
+from .common import stored, table
 from .packing import pack
 from .token_counts import count_tokens
 
@@ -42,3 +43,14 @@ def op6_packing(spark, sf_dir):
 def op9_token_counts(spark, sf_dir):
     counts = count_tokens(_documents(spark, sf_dir, "text"), public_tokenizers.path(TOKENIZER))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark, sf_dir):
+    signals = stored(quality.with_signals(_documents(spark, sf_dir, "text", "lang", "source")).drop("text"))
+    verdicts = quality.judged(signals, stored(quality.limits(quality.sketches(signals))))
+    return verdicts.select(
+        "doc_id",
+        *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")],
+        "kept",
+    )
