@@ -21,8 +21,6 @@ from .common import stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
-#: Symbols that rows of a table are not made of.
-MARKS = r"[^#*$%&<>]+"
 WINDOW_WORDS = 8
 #: Documents from which a group has limits of its own.
 GROUP_DOCS = 50
@@ -31,7 +29,7 @@ BROADCAST_GROUPS = 100_000
 SALTS = 64
 SPREADS = 6
 #: Signal, slack above the limit, and whether low values are turned down too.
-SIGNALS = (("symbols", 100, False), ("dup_lines", 300, False), ("repeats", 200, False), ("word_length", 300, True))
+SIGNALS = (("symbols", 100, False), ("dup_lines", 300, False), ("repeats", 300, False), ("word_length", 300, True))
 
 
 def let(value: Column, use) -> Column:
@@ -76,7 +74,6 @@ def with_signals(docs: DataFrame, text: str = "text", out: str = "quality") -> D
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             F.length(F.regexp_replace(F.col(f"{out}.t"), SYMBOLS, "")).cast("long").alias("n_symbols"),
-            F.length(F.regexp_replace(F.col(f"{out}.t"), MARKS, "")).cast("long").alias("n_marks"),
             F.size(lines).cast("long").alias("n_lines"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             repeat_words(words).alias("n_repeat_words"),
@@ -88,7 +85,7 @@ def with_signals(docs: DataFrame, text: str = "text", out: str = "quality") -> D
         *rest,
         F.struct(
             f"{out}.*",
-            share(q("n_marks"), q("n_words"), 1000).alias("symbols"),
+            share(q("n_symbols"), q("n_words"), 1000).alias("symbols"),
             share(q("n_dup_lines"), q("n_lines"), 1000).alias("dup_lines"),
             share(q("n_repeat_words"), q("n_words"), 1000).alias("repeats"),
             share(q("word_chars"), q("n_words"), 100).alias("word_length"),
