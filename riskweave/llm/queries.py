@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import quality
 from .common import stored, table
+from .decontaminate import contaminated
 from .packing import pack
 from .token_counts import count_tokens
 
@@ -31,6 +32,19 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *columns)
 
 
+@query("op2_decontamination")
+def op2_decontamination(spark, sf_dir):
+    found = contaminated(_documents(spark, sf_dir, "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 @query("op6_packing")
 def op6_packing(spark, sf_dir):
     pieces = pack(_documents(spark, sf_dir, "source", "text"), public_tokenizers.path(TOKENIZER))
