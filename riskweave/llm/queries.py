@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import quality
 from .common import stored, table
 from .decontaminate import contaminated
+from .jaccard_join import groups
 from .packing import pack
 from .token_counts import count_tokens
 
@@ -45,6 +46,11 @@ def op2_decontamination(spark, sf_dir):
     )
 
 
+@query("op5_ngram_jaccard_join")
+def op5_ngram_jaccard_join(spark, sf_dir):
+    return groups(_documents(spark, sf_dir, "text"), n=4, percent=85)
+
+
 @query("op6_packing")
 def op6_packing(spark, sf_dir):
     pieces = pack(_documents(spark, sf_dir, "source", "text"), public_tokenizers.path(TOKENIZER))
