@@ -13,6 +13,7 @@ from .common import stored, table
 from .decontaminate import contaminated
 from .jaccard_join import groups
 from .packing import pack
+from .secrets import find_secrets
 from .token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +47,13 @@ def op2_decontamination(spark, sf_dir):
     )
 
 
+@query("op4_secret_scan")
+def op4_secret_scan(spark, sf_dir):
+    docs = _documents(spark, sf_dir, F.concat_ws("/", "source", "lang").alias("path"), "text")
+    found = find_secrets(docs)
+    return found.select("doc_id", "start", "end", F.round("probability", 6).alias("probability"), "is_secret")
+
+
 @query("op5_ngram_jaccard_join")
 def op5_ngram_jaccard_join(spark, sf_dir):
     return groups(_documents(spark, sf_dir, "text"), n=4, percent=85)
