@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import pii, quality
 from .common import stored, table
 from .decontaminate import contaminated
 from .jaccard_join import groups
@@ -67,6 +67,15 @@ def op6_packing(spark, sf_dir):
     )
 
 
+@query("op8_pii")
+def op8_pii(spark, sf_dir):
+    found = pii.find_pii(_documents(spark, sf_dir, "text"))
+    count = [pii.count_of("base", k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select(
+        "doc_id", *count, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans")
+    )
+
+
 @query("op9_token_counts")
 def op9_token_counts(spark, sf_dir):
     counts = count_tokens(_documents(spark, sf_dir, "text"), public_tokenizers.path(TOKENIZER))
