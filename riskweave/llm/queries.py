@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pii, quality
+from .backoff import score_documents
 from .common import stored, table
 from .decontaminate import contaminated
 from .jaccard_join import groups
@@ -34,6 +35,13 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *columns)
 
 
+@query("op1_lm_scores")
+def op1_lm_scores(spark, sf_dir):
+    scores = score_documents(_documents(spark, sf_dir, "text"))
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
+    return scores.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("mean_log_score"))
+
+
 @query("op2_decontamination")
 def op2_decontamination(spark, sf_dir):
     found = contaminated(_documents(spark, sf_dir, "text"), table(spark, sf_dir, "benchmark"))
