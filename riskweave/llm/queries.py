@@ -13,6 +13,7 @@ from .backoff import score_documents
 from .common import stored, table
 from .decontaminate import contaminated
 from .jaccard_join import groups
+from .licenses import scan_licenses
 from .packing import pack
 from .secrets import find_secrets
 from .token_counts import count_tokens
@@ -55,6 +56,13 @@ def op2_decontamination(spark, sf_dir):
     )
 
 
+@query("op3_license_scan")
+def op3_license_scan(spark, sf_dir):
+    """The table has no paths: a document lies in its source and the hundred of its number."""
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    return scan_licenses(_documents(spark, sf_dir, path.alias("path"), "text"))
+
+
 @query("op4_secret_scan")
 def op4_secret_scan(spark, sf_dir):
     docs = _documents(spark, sf_dir, F.concat_ws("/", "source", "lang").alias("path"), "text")
