@@ -15,6 +15,7 @@ from .decontaminate import contaminated
 from .jaccard_join import groups
 from .licenses import scan_licenses
 from .packing import pack
+from .repeats import remove_repeats
 from .secrets import find_secrets
 from .token_counts import count_tokens
 
@@ -83,6 +84,12 @@ def op6_packing(spark, sf_dir):
     )
 
 
+@query("op7_suffix_array_dedup")
+def op7_suffix_array_dedup(spark, sf_dir):
+    found = remove_repeats(_documents(spark, sf_dir, "text"), keep_first=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op8_pii")
 def op8_pii(spark, sf_dir):
     found = pii.find_pii(_documents(spark, sf_dir, "text"))
