@@ -80,6 +80,8 @@ def counted(order: int, parts: int):
         found, _, _ = document_grams(batch.column("text").combine_chunks(), order)
         part, kind, grams_, counts = [], [], [], []
         for n, g in enumerate(found, 1):
+            if not len(g):
+                continue
             u, c = np.unique(g, return_counts=True)
             own = part_of(u, parts).astype(np.int64)
             cut = np.flatnonzero(np.diff(own, prepend=-1))
