@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import insert_delete_distance
 from ..session import materialize, shuffle_width
-from .skew import HOT_KEY_LIMIT
 
+#: Common pieces that are joined by a second one; the list is sent to all tasks.
+HOT_KEY_LIMIT = 10_000
 COMMON_PIECE_TEXTS = 20_000
 KEY = ["short", "long", "piece", "body"]
 

@@ -1,9 +1,7 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-A key is hot from ``spark.riskweave.hotKeyRows`` rows on. Hot keys are few by
-construction (rows / threshold, and never more than HOT_KEY_LIMIT are salted), so
-that list alone is broadcast: HOT_KEY_LIMIT keys are well under a megabyte. Keys
-below the limit's cut hold less than 1/HOT_KEY_LIMIT of the rows each.
+A key is hot from ``spark.riskweave.hotKeyRows`` rows on. There are at most rows / threshold
+of them, a megabyte or so for 10^11 rows, so that list alone is broadcast; all of them are salted.
 """
 
 from __future__ import annotations
@@ -13,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..session import shuffle_width
 
-HOT_KEY_LIMIT = 10_000
 HOT_KEY_ROWS = 1_000_000
 
 
@@ -24,12 +21,7 @@ def hot_key_rows(spark: SparkSession) -> int:
 def heaviest(counts: DataFrame, key: str, weight: str) -> DataFrame:
     """Hot keys out of per-key row counts."""
     floor = hot_key_rows(counts.sparkSession)
-    return (
-        counts.where(F.col(key).isNotNull() & (F.col(weight) >= floor))
-        .orderBy(F.desc(weight), key)
-        .limit(HOT_KEY_LIMIT)
-        .select(key)
-    )
+    return counts.where(F.col(key).isNotNull() & (F.col(weight) >= floor)).select(key)
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import HOT_KEY_LIMIT, hot_key_rows
+from .skew import hot_key_rows
 
 MONEY_UNITS = 10_000
 
@@ -45,8 +45,6 @@ def trailing_sums(
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_from"), F.max(at).alias("_to"))
         .where(F.col("_n") >= limit)
-        .orderBy(F.desc("_n"), key)
-        .limit(HOT_KEY_LIMIT)
         .select(
             key,
             "_from",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -49,7 +48,9 @@ def run(
 ) -> RunReport:
     """Score the rows after the stored watermark, write them and their alerts, advance the watermark.
 
-    The figures are observed while the sink is written; the batch is not read again for them."""
+    The figures are observed while the sink is written; the batch is not read again for them. Without a
+    ``run_id`` the run is named after the state's next number: a run that stopped before its state was written is
+    repeated under the same name and replaces what it left."""
     cfg = cfg or RiskConfig()
     before = state.load_state(spark, state_path)
     batch = state.delta(source, before.last_run_timestamp)
@@ -61,10 +62,11 @@ def run(
     observed = scored.observe(
         seen, *metric_columns(scored), F.max("timestamp").cast("string").alias("max_timestamp")
     )
-    run_id = run_id or uuid.uuid4().hex
-    target = write_scored(observed, f"{output}/scored", run_id)
+    mode = "errorifexists" if run_id else "overwrite"
+    run_id = run_id or f"{before.seq + 1:012d}"
+    target = write_scored(observed, f"{output}/scored", run_id, mode=mode)
     figures = seen.get
-    write_scored(alert_queue(spark.read.parquet(target)), f"{output}/alerts", run_id)
+    write_scored(alert_queue(spark.read.parquet(target)), f"{output}/alerts", run_id, mode=mode)
     newest = figures.pop("max_timestamp")
     mark = None if newest is None else datetime.fromisoformat(newest)
     after = state.advance_state(spark, state_path, mark, figures["n_txns"])

@@ -28,9 +28,10 @@ OCCUPATIONS = [
     "Consultant",
     "Art Dealer",
 ]
-COUNTRIES = (
-    "US CA GB DE SG KY PA CH AE HK FR JP AU BR IN ZA NG RU KE IT ES NL SE NO MX"
-).split()
+COUNTRIES = [
+    "US", "CA", "GB", "DE", "SG", "KY", "PA", "CH", "AE", "HK", "FR", "JP", "AU",
+    "BR", "IN", "ZA", "NG", "RU", "KE", "IT", "ES", "NL", "SE", "NO", "MX",
+]
 
 
 def _pick(values: list, index: Column) -> Column:

@@ -17,19 +17,21 @@ def _lenient(schema: T.StructType) -> T.StructType:
 
 
 def parse_timestamp(df: DataFrame, name: str = "timestamp") -> DataFrame:
-    """ISO text to a zone-less timestamp; what does not parse becomes NULL."""
-    if df.schema[name].dataType != T.StringType():
+    """ISO text to a zone-less timestamp; what does not parse becomes NULL. A table without the column stays as it is."""
+    if name not in df.columns or df.schema[name].dataType != T.StringType():
         return df
     return df.withColumn(name, F.expr(f"try_cast({name} AS TIMESTAMP_NTZ)"))
 
 
 def scan_csv(spark: SparkSession, path: str, labelled: bool = False) -> DataFrame:
-    """CSV with a header. Columns are matched by the file's own header, absent ones are left out."""
+    """CSV with a header. Columns are matched by the header, absent ones are left out.
+
+    All files must have the same header: values are read by place, so another order is refused, not mixed up."""
     schema = LABELLED_TRANSACTION if labelled else TRANSACTION
     header = spark.read.option("header", True).option("enforceSchema", False).csv(path).columns
     known = {f.name: f for f in _lenient(schema).fields}
     found = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
-    df = spark.read.schema(found).option("header", True).option("nanValue", "NaN").csv(path)
+    df = spark.read.schema(found).option("header", True).option("enforceSchema", False).option("nanValue", "NaN").csv(path)
     return nan_to_null(parse_timestamp(df))
 
 
@@ -45,10 +47,10 @@ def scan_training(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return df
 
 
-def write_scored(df: DataFrame, path: str, run_id: str, fmt: str = "parquet") -> str:
+def write_scored(df: DataFrame, path: str, run_id: str, fmt: str = "parquet", mode: str = "errorifexists") -> str:
     """Write one run to its own folder, so a repeated run never mixes with an earlier one."""
     target = f"{path}/run={run_id}"
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode(mode)
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.format(fmt).save(target)

@@ -78,13 +78,18 @@ def score_micro_batch(
 ) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: the batch plan per micro-batch, one output folder per batch id.
 
-    A repeated batch id is skipped if its folder is complete, so a restart writes nothing twice.
+    A repeated batch id is not written again if its folder is complete; the state is advanced if that id
+    has not done so, so a restart between the two loses nothing and counts nothing twice.
     ``strict_highwater`` drops rows not later than the stored watermark, as the batch runs do."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        done = f"{output}/run={batch_id:012d}"
+        name = f"{batch_id:012d}"
+        done = f"{output}/run={name}"
         if path_exists(session, f"{done}/_SUCCESS"):
+            if state_path is not None and not state.knows_batch(session, state_path, name):
+                figures = session.read.parquet(done).agg(*state.watermark_columns()).first()
+                state.advance_state(session, state_path, figures.max_timestamp, figures.n_rows, name)
             return
         if strict_highwater and state_path is not None:
             batch = state.delta(batch, state.load_state(session, state_path).last_run_timestamp)
@@ -94,7 +99,7 @@ def score_micro_batch(
         scored = score_batch(batch, cfg, fit_models(batch, cfg, classifier))
         _overwrite(scored, done)
         if state_path is not None:
-            state.advance_state(session, state_path, figures.max_timestamp, figures.n_rows)
+            state.advance_state(session, state_path, figures.max_timestamp, figures.n_rows, name)
 
     return handle
 

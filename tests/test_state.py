@@ -55,6 +55,35 @@ def test_run_then_rerun(spark, tmp_path):
     assert bands == [b for b in ("LOW", "MEDIUM", "HIGH", "CRITICAL") if b in bands]
 
 
+def test_a_run_repeated_before_its_state_was_written_leaves_no_copy(spark, tmp_path, monkeypatch):
+    source, out, marks = derived(spark, SF), str(tmp_path / "out"), str(tmp_path / "state")
+    advance = state.advance_state
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    for _ in range(2):
+        monkeypatch.setattr(state, "advance_state", stop)
+        with pytest.raises(RuntimeError):
+            run(spark, source, out, marks, CFG)
+    monkeypatch.setattr(state, "advance_state", advance)
+    run(spark, source, out, marks, CFG)
+    assert spark.read.parquet(f"{out}/scored").count() == source.count()
+    assert state.load_state(spark, marks).total_processed_to_date == source.count()
+
+
+def test_csv_files_of_another_column_order_are_refused(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("transaction_id,sender_id,receiver_id\nx,s,r\n")
+    (folder / "b.csv").write_text("transaction_id,receiver_id,sender_id\ny,r,s\n")
+    with pytest.raises(Exception):
+        transactions.scan_csv(spark, str(folder)).collect()
+    (folder / "b.csv").write_text("transaction_id,sender_id,receiver_id\ny,s,r\n")
+    rows = transactions.scan_csv(spark, str(folder)).collect()
+    assert {(r.sender_id, r.receiver_id) for r in rows} == {("s", "r")}
+
+
 def test_failed_sink_leaves_the_watermark(spark, tmp_path):
     source, out, marks = derived(spark, SF), str(tmp_path / "out"), str(tmp_path / "state")
     (tmp_path / "out" / "scored" / "run=x").mkdir(parents=True)

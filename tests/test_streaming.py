@@ -68,3 +68,25 @@ def test_micro_batches_are_scored_once(spark, tmp_path):
     # a late file: dropped by the strict high-water mark
     source.limit(5).coalesce(1).write.mode("append").parquet(folder)
     assert go(strict=True) == source.count()
+
+
+def test_state_is_made_up_for_after_a_stop_between_write_and_state(spark, tmp_path, monkeypatch):
+    source = transactions(spark, SF)
+    out, marks = str(tmp_path / "out"), str(tmp_path / "state")
+    advance = state.advance_state
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(state, "advance_state", stop)
+    for _ in range(2):
+        try:
+            monitor.score_micro_batch(spark, out, CFG, state_path=marks)(source, 3)
+        except RuntimeError:
+            pass
+    monkeypatch.setattr(state, "advance_state", advance)
+    for _ in range(2):
+        monitor.score_micro_batch(spark, out, CFG, state_path=marks)(source, 3)
+    after = state.load_state(spark, marks)
+    assert after.total_processed_to_date == source.count() == spark.read.parquet(out).count()
+    assert after.last_run_timestamp == source.agg(F.max("timestamp")).first()[0]
