@@ -13,11 +13,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, send_by_value
 
 #: Texts are worked on in slices of about this many bytes, so that a worker's memory doesn't follow the batch.
 SLICE_BYTES = 1 << 22
+#: Keys up to which a list of them is sent to all tasks (some tens of MB); longer lists are met in a shuffle.
+SMALL_KEYS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -36,12 +39,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(keys: DataFrame) -> DataFrame:
+    """The keys, marked for broadcast if a count shows that they are few."""
+    return F.broadcast(keys) if keys.count() <= SMALL_KEYS else keys
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(sizes + 1) // limit
     cuts = np.flatnonzero(np.diff(part, prepend=-1))
-    yield from zip(cuts.tolist(), [*cuts[1:].tolist(), len(sizes)], strict=True)
+    yield from zip(cuts.tolist(), [*cuts[1:].tolist(), len(sizes)], strict=False)
 
 
 def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

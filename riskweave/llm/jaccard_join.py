@@ -9,11 +9,12 @@ one row. Classes meet in tiles:
    ``d`` at most, so a linked pair agrees on a whole part; a tile is a band, a part and its content. Sets with too many
    empty parts for this argument meet, among themselves, in tiles of their rarest-by-hash elements as well (a prefix
    filter). No linked pair is lost.
-3. *First round.* In each tile everyone is compared with the tile's smallest member, exactly. What links is joined
+3. *First round.* In each tile everyone is compared with the tile's smallest member, by bitmaps and then exactly. What links is joined
    to components; near copies are mostly done after it, at a cost linear in the members.
 4. *Second round.* Tiles that still hold several components are compared in blocks of bounded size, pairs of one
    component left out. Bitmaps of hashed elements come first: the bits of A missing in B are elements missing in B, which
-   bounds the overlap from above. Pairs that stand this are intersected exactly, as sorted arrays.
+   bounds the overlap from above. Pairs that stand this are intersected exactly, as sorted arrays: for small tiles
+   in a join of the distinct pairs, in large ones on the spot, where a link joins components at once.
 
 Elements are 64-bit hashes of n-grams, classes 64-bit hashes of sets. Defined results: a document without text or words
 has an empty set and links with nothing; one with fewer words than n has its whole sequence as its only element; repeated
@@ -31,14 +32,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import send_by_value, shuffle_width
-from .common import buffer, grams, hashes, mix, runs, slices, stored
+from .common import buffer, grams, hashes, mix, runs, slices, small, stored
 
 #: Ratio of neighbouring band borders.
 BAND = 1.5
 #: Members of a block in the second round.
 BLOCK = 512
+#: Members up to which a tile names its pairs and leaves the exact test to a join; larger tiles make it themselves.
+FEW = 32
 #: Bits of a bitmap per element of the band's largest set, before rounding up to a power of two.
-BITS = 2
+BITS = 1
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -133,29 +136,54 @@ def folded(data: bytes, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(data, np.uint8).reshape(-1, size), axis=0)
 
 
-def described(n: int, percent: int):
-    """(doc_id, text) to (doc_id, set, size, tiles, bits)."""
+def described(n: int):
+    """(doc_id, text) to (doc_id, set, size, bits)."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, text = b.column(0), b.column(1)
-            for first, last in slices(text):
-                rows = [(name_of(s), len(s), tiles(s, percent), bitmap(s)) for s in gram_sets(text.slice(first, last - first), n)]
-                sizes = np.array([0, *[len(r[2]) for r in rows]])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(first, last - first),
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([r[1] for r in rows], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int64), *[r[2] for r in rows]]))),
-                        pa.array([r[3] for r in rows], pa.binary()),
-                    ],
-                    ["doc_id", "set", "size", "tiles", "bits"],
-                )
+            rows = [(name_of(s), len(s), bitmap(s)) for s in gram_sets(b.column(1), n)]
+            values = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *values], ["doc_id", "set", "size", "bits"])
 
     return describe
 
 
+def tile_rows(n: int, percent: int):
+    """(text) to (tile, set), each set of a batch once."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: set[int] = set()
+            for first, last in slices(b.column(0)):
+                tile, own = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for s in gram_sets(b.column(0).slice(first, last - first), n):
+                    name = name_of(s)
+                    if name not in seen:
+                        seen.add(name)
+                        tile.append(tiles(s, percent))
+                        own.append(np.full(len(tile[-1]), name))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tile)), pa.array(np.concatenate(own))], ["tile", "set"])
+
+    return rows
+
+
+def bit_test(percent: int):
+    """(a, b, size_a, size_b, bits_a, bits_b) to the pairs whose bitmaps allow a link."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, n, x, y in zip(*[batch.column(c).to_pylist() for c in ("size_a", "size_b", "bits_a", "bits_b")], strict=True):
+                need = -(-percent * (m + n) // (100 + percent))
+                width = min(len(x), len(y))
+                one, two = folded(x, width), folded(y, width)
+                missing, extra = np.bitwise_count(one & ~two).sum(dtype=np.int64), np.bitwise_count(two & ~one).sum(dtype=np.int64)
+                keep.append(need <= min(m, n) and m - missing >= need and n - extra >= need)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return test
+
+
 def exact(n: int, percent: int):
     """(a, b, text_a, text_b) to the pairs (a, b) that link."""
 
@@ -200,35 +228,72 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def block_pairs(percent: int):
-    """Rows of tiles' blocks, sorted by tile, to the pairs that bitmaps can't rule out."""
+def elements_of(n: int):
+    """(set, text) to (set, elements): sorted hashes."""
 
-    def tile_pairs(x: pa.Table) -> pa.RecordBatch:
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [s.tobytes() for s in gram_sets(b.column(1), n)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["set", "elements"])
+
+    return take
+
+
+def block_links(percent: int, want: str):
+    """Rows of tiles' blocks, sorted by block, to what stands the bitmaps (a, b).
+
+    ``pairs``: the pairs. ``members``: each tile with those members that are in such a pair. ``links``: rows bring their
+    elements, the pairs are intersected, and a link joins the components of both, so no more links come out of a block
+    than it has members."""
+    exact = want == "links"
+
+    def tile_links(x: pa.Table) -> pa.RecordBatch:
         size = x.column("size").to_numpy()
-        root = x.column("root").to_numpy()
+        root = x.column("root").to_numpy().copy()
         side = x.column("side").to_numpy()
         name = x.column("set").to_numpy()
         bits = x.column("bits").to_pylist()
-        first = np.flatnonzero(side != 1)
-        second = np.flatnonzero(side != 0)
+        if exact:
+            sets = [np.frombuffer(e, np.uint64) for e in x.column("elements").to_pylist()]
+            begin = np.cumsum(size) - size
+            universe, rank = np.unique(np.concatenate(sets), return_inverse=True)
+            mark = np.zeros(len(universe), bool)
         width = min(map(len, bits))
         maps = np.stack([folded(b, width) for b in bits])
+        place = np.arange(len(size))
+        tile = x.column("tile").to_numpy()
         low, high = [], []
-        for i in first.tolist():
-            other = second[(second > i) | (side[i] == 0)]
-            least = np.minimum(size[i], size[other])
+        for i in np.flatnonzero(side != 1).tolist():
+            other = place[(side == 1) if side[i] == 0 else (place > i)]
             need = -(-percent * (size[i] + size[other]) // (100 + percent))
-            other = other[(root[other] != root[i]) & (need <= least)]
-            if not len(other):
+            open_ = (root[other] != root[i]) & (need <= np.minimum(size[i], size[other]))
+            other, need = other[open_], need[open_]
+            if len(other):
+                missing = np.bitwise_count(maps[i] & ~maps[other]).sum(axis=1, dtype=np.int64)
+                extra = np.bitwise_count(maps[other] & ~maps[i]).sum(axis=1, dtype=np.int64)
+                stand = (size[i] - missing >= need) & (size[other] - extra >= need)
+                other, need = other[stand], need[stand]
+            if want == "members" and len(other):
+                found = [name[i], *name[other].tolist()]
+                low += [tile[i]] * len(found)
+                high += found
+            if want == "pairs":
+                low += np.minimum(name[i], name[other]).tolist()
+                high += np.maximum(name[i], name[other]).tolist()
+            if not exact or not len(other):
                 continue
-            need = -(-percent * (size[i] + size[other]) // (100 + percent))
-            missing = np.bitwise_count(maps[i] & ~maps[other]).sum(axis=1, dtype=np.int64)
-            extra = np.bitwise_count(maps[other] & ~maps[i]).sum(axis=1, dtype=np.int64)
-            other = other[(size[i] - missing >= need) & (size[other] - extra >= need)]
-            low.append(np.minimum(name[i], name[other]))
-            high.append(np.maximum(name[i], name[other]))
-        pair = [np.concatenate([np.empty(0, np.int64), *v]) for v in (low, high)]
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in pair], ["a", "b"])
+            own = rank[begin[i] : begin[i] + size[i]]
+            mark[own] = True
+            common = np.add.reduceat(mark[rank], begin, dtype=np.int64)[other]
+            mark[own] = False
+            for j in other[common >= need].tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    low.append(min(name[i], name[j]))
+                    high.append(max(name[i], name[j]))
+        if want == "members":
+            low, high = zip(*set(zip(low, high, strict=True)), strict=True) if low else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -237,16 +302,16 @@ def block_pairs(percent: int):
             key = rest.column("block").to_numpy()
             cut = np.flatnonzero(np.diff(key)) + 1
             for low, high in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=False):
-                yield tile_pairs(rest.slice(low, high - low))
+                yield tile_links(rest.slice(low, high - low))
             rest = rest.slice(int(cut[-1])) if len(cut) else rest
         if rest is not None and rest.num_rows:
-            yield tile_pairs(rest)
+            yield tile_links(rest)
 
     return pairs
 
 
-def second_round(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components that share a tile and that bitmaps can't rule out."""
+def second_round(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the tiles that hold several components: those of few members, and those of many."""
     own = members.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     open_ = (
         own.groupBy("tile")
@@ -255,7 +320,12 @@ def second_round(members: DataFrame, sets: DataFrame, roots: DataFrame, percent:
     )
     # equal tiles (same members) are compared once
     open_ = open_.groupBy("members", "sum", "low", "high").agg(F.min("tile").alias("tile")).select("tile", "members")
-    rows = own.join(open_, "tile").join(sets.select("set", "size", "bits"), "set")
+    rows = stored(own.join(open_, "tile").select("tile", "members", "set", "root").join(sets.select("set", "size"), "set"))
+    return rows.where(F.col("members") <= FEW), rows.where(F.col("members") > FEW)
+
+
+def blocks(rows: DataFrame, fetched: DataFrame, percent: int, want: str) -> DataFrame:
+    """What ``block_links`` finds in tiles. ``fetched`` has what rows bring along, by set."""
     place = Window.partitionBy("tile").orderBy("size", "set")
     rows = rows.withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK)).withColumn("blocks", F.ceil(F.col("members") / BLOCK))
     # a block meets itself and every other one: side 0 is the lower of the two, 1 the higher, 2 both
@@ -264,32 +334,46 @@ def second_round(members: DataFrame, sets: DataFrame, roots: DataFrame, percent:
     rows = rows.select(
         F.xxhash64("tile", F.least(k, b), F.greatest(k, b)).alias("block"),
         F.when(k == b, 2).when(b < k, 0).otherwise(1).cast("int").alias("side"),
-        "set", "size", "root", "bits",
-    )
+        "tile", "set", "size", "root",
+    ).join(fetched, "set")
     dealt = rows.repartition(shuffle_width(rows.sparkSession), "block").sortWithinPartitions("block", "side")
-    return dealt.mapInArrow(block_pairs(percent), "a long, b long").distinct()
+    return dealt.mapInArrow(block_links(percent, want), "a long, b long").distinct()
 
 
 def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, set, size) and components (node, root) of their sets, from (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    told = stored(rows.mapInArrow(described(n, percent), f"doc_id {kind}, set long, size long, tiles array<long>, bits binary"))
-    some = told.where("size > 0")
-    sets = some.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.any_value("size").alias("size"), F.any_value("tiles").alias("tiles"), F.any_value("bits").alias("bits"))
+    told = stored(rows.mapInArrow(described(n), f"doc_id {kind}, set long, size long, bits binary"))
     tile = Window.partitionBy("tile")
-    met = sets.select("set", F.explode("tiles").alias("tile"))
+    met = rows.select("text").mapInArrow(tile_rows(n, percent), "tile long, set long")
     met = met.withColumn("first", F.min("set").over(tile)).withColumn("last", F.max("set").over(tile))
-    members = stored(met.where("first <> last").select("tile", "set", "first"))
-    names = stored(members.select("set").distinct().join(sets.select("set", "doc_id", "size", "bits"), "set"))
-    # one text of each class: ids may repeat, so the class is worked out again from the text itself
-    keyed = rows.join(names.select("doc_id", "set"), "doc_id").select("set", "text")
-    texts = stored(keyed.mapInArrow(of_class(n), "set long, text string").dropDuplicates(["set"]))
+    members = stored(met.where("first <> last").select("tile", "set", "first").distinct())
+    names = members.select("set").distinct().join(told, "set")
+    names = stored(names.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.any_value("size").alias("size"), F.any_value("bits").alias("bits")))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        # ids may repeat, so the class is worked out again from the text itself
+        ids = small(stored(wanted.join(names, "set").select(F.col("doc_id").alias("id"), "set")))
+        found = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("set", "text")
+        return found.mapInArrow(of_class(n), "set long, text string").dropDuplicates(["set"])
+
     pairs = members.where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b")).distinct()
-    links = stored(verified(pairs, texts, n, percent))
+    side = names.select("set", "size", "bits")
+    tested = pairs.join(side.toDF("a", "size_a", "bits_a"), "a").join(side.toDF("b", "size_b", "bits_b"), "b")
+    pairs = stored(tested.select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(bit_test(percent), "a long, b long"))
+    both = stored(texts(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()))
+    links = stored(verified(pairs, both, n, percent))
     roots = components(links)
-    more = second_round(members, names, roots, percent).join(pairs, ["a", "b"], "left_anti")
-    more = stored(verified(more, texts, n, percent))
+    few, many = second_round(members, names, roots, percent)
+    bits = names.select("set", "bits")
+    near = stored(blocks(few, bits, percent, "pairs").join(pairs, ["a", "b"], "left_anti"))
+    both = texts(near.select(F.explode(F.array("a", "b")).alias("set")).distinct())
+    # most members of large tiles share a passage and no more; only the others bring their elements
+    close = stored(blocks(many, bits, percent, "members").toDF("tile", "set"))
+    many = many.join(close, ["tile", "set"], "left_semi")
+    elements = texts(many.select("set").distinct()).mapInArrow(elements_of(n), "set long, elements binary")
+    more = stored(verified(near, stored(both), n, percent).unionByName(blocks(many, bits.join(elements, "set"), percent, "links")))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     return told.select("doc_id", "set", "size"), roots
@@ -321,9 +405,12 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents, one of each component: the one with the smallest id.
 
     Rows that share an id stay or go together, but equal rows among them are kept once."""
-    rows = stored(groups(docs, n, percent).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("low"), F.max("component_id").alias("high")))
-    own = F.col("doc_id").eqNullSafe(F.col("low")) | F.col("doc_id").eqNullSafe(F.col("high"))
-    kept = rows.where(own).select(F.col("doc_id").alias("_id"), "n")
+    rows = groups(docs, n, percent).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"),
+    )
+    # most documents stay alone: those that go, and the ids that repeat, are the shorter list
+    rows = stored(rows.where("n > 1 or not stays").select(F.col("doc_id").alias("_id"), "n", "stays"))
     match = F.col("doc_id").eqNullSafe(F.col("_id"))
-    once = docs.join(kept.where("n = 1"), match, "left_semi")
-    return once.unionByName(docs.join(kept.where("n > 1"), match, "left_semi").dropDuplicates())
+    once = docs.join(small(rows.select("_id")), match, "left_anti")
+    return once.unionByName(docs.join(small(rows.where("stays").select("_id")), match, "left_semi").dropDuplicates())
