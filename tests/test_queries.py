@@ -1,11 +1,13 @@
 import pytest
 
 import __spark_entry__ as entry
+from riskweave import oracles
+from riskweave.queries import REGISTRY
 from tests.compare import connect, difference
 from tests.conftest import SF
 
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+SQL = oracles.all_sql()
+QUERIES = REGISTRY
 
 
 @pytest.fixture(scope="module")
@@ -25,4 +27,4 @@ def test_query_without_sql_keeps_every_row(spark, name):
 
 
 def test_every_statement_has_its_query():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
