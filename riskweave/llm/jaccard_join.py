@@ -261,7 +261,7 @@ def block_links(percent: int, want: str):
         width = min(map(len, bits))
         maps = np.stack([folded(b, width) for b in bits])
         place = np.arange(len(size))
-        tile = x.column("tile").to_numpy()
+        close = np.zeros(len(size), bool)
         low, high = [], []
         for i in np.flatnonzero(side != 1).tolist():
             other = place[(side == 1) if side[i] == 0 else (place > i)]
@@ -274,9 +274,7 @@ def block_links(percent: int, want: str):
                 stand = (size[i] - missing >= need) & (size[other] - extra >= need)
                 other, need = other[stand], need[stand]
             if want == "members" and len(other):
-                found = [name[i], *name[other].tolist()]
-                low += [tile[i]] * len(found)
-                high += found
+                close[i] = close[other] = True
             if want == "pairs":
                 low += np.minimum(name[i], name[other]).tolist()
                 high += np.maximum(name[i], name[other]).tolist()
@@ -292,7 +290,7 @@ def block_links(percent: int, want: str):
                     low.append(min(name[i], name[j]))
                     high.append(max(name[i], name[j]))
         if want == "members":
-            low, high = zip(*set(zip(low, high, strict=True)), strict=True) if low else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(x.column("tile").to_numpy()[close]), pa.array(name[close])], ["a", "b"])
         return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
