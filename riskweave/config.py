@@ -12,7 +12,8 @@ class RiskConfig:
     fuzzy_threshold: float = 85.0
     use_national_id: bool = True
     fuzzy_scorer: str = "token_sort_ratio"
-    fuzzy_limit: int = 5
+    # matches an anchor may claim; None is all of them, 5 the compatible value
+    fuzzy_limit: int | None = None
     # score weights
     rule_weight: float = 0.45
     anomaly_weight: float = 0.30
@@ -42,13 +43,16 @@ class RiskConfig:
     min_history: int = 3
     # graph
     min_edge_amount: float = 10000.0
-    pagerank_node_limit: int | None = None
+    # "pagerank" or "degree", whatever the size
+    importance: str = "pagerank"
     pagerank_iterations: int = 50
-    cycle_scan_node_limit: int | None = None
     resolve_receivers: bool = False
     # models
     contamination: float = 0.01
     forest_trees: int = 100
+    # rows a tree is grown on and its depth: the method's own numbers
+    forest_sample: int = 256
+    forest_depth: int = 8
     boost_rounds: int = 100
     boost_depth: int = 6
     boost_rate: float = 0.1

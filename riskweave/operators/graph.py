@@ -136,9 +136,11 @@ def pagerank(
 
 
 def node_importance(edges: DataFrame, degrees: DataFrame, cfg: RiskConfig) -> DataFrame:
-    """PageRank, or the in-degree share on networks above the configured size."""
-    if cfg.pagerank_node_limit is not None and degrees.count() >= cfg.pagerank_node_limit:
+    """PageRank or the in-degree share, as the settings say."""
+    if cfg.importance == "degree":
         return degree_centrality(degrees)
+    if cfg.importance != "pagerank":
+        raise ValueError(f"unknown importance: {cfg.importance}")
     run = pagerank(edges, iterations=cfg.pagerank_iterations)
     if not run.converged:
         raise RuntimeError(f"PageRank did not converge in {run.iterations} iterations")
@@ -185,8 +187,8 @@ def three_hop_nodes(edges: DataFrame, degrees: DataFrame, node_limit: int | None
     return found.select(F.explode(F.array("low", "out", "back")).alias("node")).distinct()
 
 
-def cycle_nodes(edges: DataFrame, degrees: DataFrame, node_limit: int | None = None) -> DataFrame:
-    return two_hop_nodes(edges).unionByName(three_hop_nodes(edges, degrees, node_limit)).distinct()
+def cycle_nodes(edges: DataFrame, degrees: DataFrame) -> DataFrame:
+    return two_hop_nodes(edges).unionByName(three_hop_nodes(edges, degrees)).distinct()
 
 
 def network_risk(degrees: DataFrame, cycles: DataFrame) -> DataFrame:
@@ -208,7 +210,7 @@ def features_of(edges: DataFrame, cfg: RiskConfig, key: str = "global_entity_id"
     degrees = materialize(graph_degrees(edges))
     cycles, importance = together(
         edges.sparkSession,
-        lambda: materialize(cycle_nodes(edges, degrees, cfg.cycle_scan_node_limit)),
+        lambda: materialize(cycle_nodes(edges, degrees)),
         lambda: node_importance(edges, degrees, cfg).withColumnRenamed("score", "network_pagerank"),
     )
     risk = network_risk(degrees, cycles)

@@ -5,6 +5,7 @@ has; only the node table (at most 511 nodes a tree) reaches the driver."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -21,9 +22,6 @@ from .features import ANOMALY_FEATURES, feature
 
 send_by_value(__name__)
 
-SAMPLE_ROWS = 256
-MAX_DEPTH = 8
-SMALL_BATCH = 10_000_000
 SCORE_UNITS = 1_000_000
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, depth double"
 
@@ -37,7 +35,7 @@ def expected_depth(n: float) -> float:
     return 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
-def _grower(names: tuple[str, ...], seed: int):
+def _grower(names: tuple[str, ...], seed: int, most: int):
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
         rng = np.random.default_rng([seed, tree])
@@ -49,7 +47,7 @@ def _grower(names: tuple[str, ...], seed: int):
             me = len(nodes)
             if parent is not None:
                 nodes[parent][side] = me
-            spread = [f for f in range(len(names)) if np.ptp(data[rows, f]) > 0] if depth < MAX_DEPTH and len(rows) > 1 else []
+            spread = [f for f in range(len(names)) if np.ptp(data[rows, f]) > 0] if depth < most and len(rows) > 1 else []
             if not spread:
                 nodes.append([tree, me, -1, 0.0, me, me, depth + expected_depth(len(rows))])
                 continue
@@ -65,35 +63,29 @@ def _grower(names: tuple[str, ...], seed: int):
     return grow
 
 
-def sample_trees(df: DataFrame, names: tuple[str, ...], trees: int, rows: int, seed: int) -> DataFrame:
-    """(tree, draw, features): up to 256 rows for each tree, chosen by hash.
+def sample_trees(df: DataFrame, names: tuple[str, ...], trees: int, rows: int, seed: int, sample: int = 256) -> DataFrame:
+    """(tree, draw, features): up to ``sample`` rows for each tree, chosen by hash.
 
-    On a large batch a row is drawn first and given one tree after, so almost every row
-    costs one hash; a small batch lends its rows to several trees."""
+    A row has ceil(1.5 * sample * trees / rows) slots, at most one per tree: one on a large
+    batch, where almost every row costs one hash, more on a small one, by the same rule."""
     id_columns = ["transaction_id"] if "transaction_id" in df.columns else list(names)
     base = df.select(*[feature(df, n).alias(n) for n in names], F.xxhash64(F.lit(seed), *id_columns).alias("draw"))
-    unit = float(1 << 30)
-    share = min(1.0, 1.5 * SAMPLE_ROWS * trees / max(rows, 1))
-    if share < 1.0:
-        drawn = base.where(F.pmod("draw", F.lit(1 << 30)) < share * unit).withColumn(
-            "tree", F.pmod(F.xxhash64("draw"), F.lit(trees)).cast("int")
-        )
-    else:
-        each = min(1.0, 1.5 * SAMPLE_ROWS / max(rows, 1))
-        drawn = (
-            base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-            .withColumn("draw", F.xxhash64("draw", "tree"))
-            .where(F.pmod("draw", F.lit(1 << 30)) < each * unit)
-        )
+    # a row stands in this many slots, each of which is drawn with the same chance and given a tree
+    slots = max(1, math.ceil(1.5 * sample * trees / max(rows, 1)))
+    share = min(1.0, 1.5 * sample * trees / max(rows, 1) / slots)
+    slot = F.explode(F.sequence(F.lit(0), F.lit(min(slots, trees) - 1)))
+    drawn = (
+        base.withColumn("slot", slot)
+        .withColumn("chance", F.xxhash64("draw", "slot"))
+        .where(F.pmod("chance", F.lit(1 << 30)) < share * float(1 << 30))
+        .withColumn("tree", F.pmod(F.xxhash64("draw") + F.col("slot"), F.lit(trees)).cast("int"))
+        .withColumn("draw", F.col("chance"))
+        .drop("slot", "chance")
+    )
     # a few thousand rows, but a tree's worth of work each: placed by number, not by size
     drawn = drawn.repartition(min(trees, shuffle_width(df.sparkSession)), "tree")
     first = Window.partitionBy("tree").orderBy("draw", *names)
-    return drawn.withColumn("place", F.row_number().over(first)).where(F.col("place") <= SAMPLE_ROWS).drop("place")
-
-
-def _spread(df: DataFrame, rows: int) -> DataFrame:
-    """A small batch often is one file and would be scored by one task; a large one has splits enough."""
-    return df.repartition(shuffle_width(df.sparkSession)) if rows <= SMALL_BATCH else df
+    return drawn.withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample).drop("place")
 
 
 @dataclass(frozen=True)
@@ -102,7 +94,7 @@ class Forest:
     nodes: pd.DataFrame
     trees: int
     sample: int
-    rows: int
+    depth: int
     offset: float = -0.5
     lowest: float = -1.0
 
@@ -118,7 +110,7 @@ class Forest:
         child = np.column_stack([below, above]).ravel()
         depth = table["depth"].to_numpy()
         norm = max(expected_depth(self.sample), 1.0)
-        width = len(self.names)
+        width, most = len(self.names), self.depth
 
         @pandas_udf(T.DoubleType())
         def walk(*columns: pd.Series) -> pd.Series:
@@ -128,7 +120,7 @@ class Forest:
                 block = data[lo : lo + 1024]
                 values, first = block.ravel(), (np.arange(len(block)) * width)[:, None]
                 at = np.broadcast_to(start, (len(block), len(start)))
-                for _ in range(MAX_DEPTH):
+                for _ in range(most):
                     at = child.take(2 * at + (values.take(first + split.take(at)) > cut.take(at)))
                 out[lo : lo + 1024] = -np.exp2(-depth.take(at).mean(axis=1) / norm)
             return pd.Series(np.rint(out * SCORE_UNITS) / SCORE_UNITS)
@@ -138,7 +130,7 @@ class Forest:
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ml_anomaly_score: 50 at the contamination cut-off, higher is stranger."""
         raw = (F.lit(0.5) - (self.normality(df) - F.lit(self.offset))) * 100
-        return _spread(df, self.rows).withColumn("ml_anomaly_score", round_half_even(clip(raw, 0, 100), 2))
+        return df.withColumn("ml_anomaly_score", round_half_even(clip(raw, 0, 100), 2))
 
     @property
     def top_score(self) -> float:
@@ -171,13 +163,13 @@ def fit_forest(df: DataFrame, cfg: RiskConfig, names: tuple[str, ...] = ANOMALY_
     rows = df.count()
     if rows == 0:
         raise ValueError("an isolation forest needs at least one row")
-    sample = sample_trees(df, names, cfg.forest_trees, rows, cfg.seed)
-    nodes = sample.groupBy("tree").applyInPandas(_grower(names, cfg.seed), NODE_SCHEMA).toPandas()
+    sample = sample_trees(df, names, cfg.forest_trees, rows, cfg.seed, cfg.forest_sample)
+    nodes = sample.groupBy("tree").applyInPandas(_grower(names, cfg.seed, cfg.forest_depth), NODE_SCHEMA).toPandas()
     # a tiny batch may leave some trees without rows
     grown = {t: k for k, t in enumerate(sorted(nodes["tree"].unique()))}
     nodes["tree"] = nodes["tree"].map(grown)
-    forest = Forest(names, nodes, len(grown), min(SAMPLE_ROWS, rows), rows)
-    known = _spread(df.select(*[feature(df, n).alias(n) for n in names]), rows)
+    forest = Forest(names, nodes, len(grown), min(cfg.forest_sample, rows), cfg.forest_depth)
+    known = df.select(*[feature(df, n).alias(n) for n in names])
     offset, lowest = percentile_of(known.select(forest.normality(known).alias("s")), "s", cfg.contamination)
     return replace(forest, offset=offset, lowest=lowest)
 

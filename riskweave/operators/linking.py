@@ -4,7 +4,8 @@ Profiles are visited in order of appearance. One that nobody has claimed yet bec
 anchor and claims its best later matches (at most ``fuzzy_limit``, by score, then order);
 a later claim on the same account replaces an earlier one. Which matches a profile would
 claim does not depend on the visit, so all claims are computed up front; only who becomes
-an anchor is settled in rounds.
+an anchor is settled in rounds. Without a limit (``None``) an anchor claims every later
+match, so only the first copy of a text can be one, and texts are settled instead of profiles.
 
 Profiles with the same comparison form are copies. Copies claim the copies right after
 them, so a name shared by a large part of all accounts costs one sort. Every grouping of
@@ -284,8 +285,58 @@ def fuzzy_claims(numbered: DataFrame, cfg: RiskConfig) -> tuple[DataFrame, DataF
     return members, materialize(cross_matches(members, pairs, cfg.fuzzy_limit))
 
 
+def first_texts(numbered: DataFrame) -> DataFrame:
+    """(text, first): each text and the number of its first profile."""
+    return numbered.groupBy("text").agg(F.min("i").alias("first"))
+
+
+def anchor_texts(firsts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Texts (text, first) that become anchors when claims have no limit: in order of ``first``,
+    those without an earlier anchor among the texts similar to them.
+
+    Per round every text is settled whose earlier neighbours are; only open texts are carried on."""
+    a, b = firsts.toDF("a", "first_a"), firsts.toDF("b", "first_b")
+    turned = F.col("first_a") < F.col("first_b")
+    before = pairs.join(a, "a").join(b, "b").select(
+        F.when(turned, F.col("b")).otherwise(F.col("a")).alias("text"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("by")
+    )
+    links = materialize(before)
+    waiting = links.select("text").distinct()
+    found = materialize(firsts.join(waiting, "text", "left_anti").select("text"))
+    anchors, fresh = [found], found
+    while not links.isEmpty():
+        # texts next to a new anchor are claimed; the links of claimed texts bind nobody any more
+        claimed = materialize(links.join(fresh.withColumnRenamed("text", "by"), "by", "left_semi").select("text").distinct())
+        links_left = links.join(claimed, "text", "left_anti")
+        rest = materialize(links_left.join(claimed.withColumnRenamed("text", "by"), "by", "left_anti"))
+        free = links_left.select("text").distinct().join(rest.select("text").distinct(), "text", "left_anti")
+        fresh = materialize(free)
+        anchors.append(fresh)
+        links = rest
+    every = anchors[0]
+    for more in anchors[1:]:
+        every = every.unionByName(more)
+    return firsts.join(every, "text", "left_semi")
+
+
+def link_without_limit(numbered: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sender_id, parent_id) when an anchor claims every later match."""
+    leads = materialize(anchor_texts(materialize(first_texts(numbered)), pairs))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(leads.withColumnRenamed("text", "a"), "a").select(F.col("b").alias("text"), "first")
+    reach = materialize(near.unionByName(leads.select("text", "first")))
+    # a text's profiles are brought down to one row per account before they meet the anchors
+    senders = numbered.groupBy("text", "sender_id").agg(F.max("i").alias("last"))
+    hot = heaviest(senders.groupBy("text").agg(F.count(F.lit(1)).alias("n")), "text", "n")
+    claims = skew_join(senders, reach, "text", "sender_id", "inner", materialize(hot)).where(F.col("first") < F.col("last"))
+    last = claims.groupBy("sender_id").agg(F.max("first").alias("i"))
+    return last.join(numbered.select("i", F.col("sender_id").alias("parent_id")), "i").select("sender_id", "parent_id")
+
+
 def fuzzy_edges(df: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Every claim a profile would make: (profile_id, match_id, score), best ``fuzzy_limit`` per profile."""
+    if cfg.fuzzy_limit is None:
+        raise ValueError("claims without a limit aren't listed one by one: use fuzzy_link, or similar_pairs for the texts")
     numbered = materialize(numbered_profiles(distinct_profiles(df), cfg.fuzzy_scorer))
     members, matches = fuzzy_claims(numbered, cfg)
     same = members.select("i", F.explode("next").alias("j"), F.lit(100.0).alias("score"))
@@ -301,6 +352,8 @@ def fuzzy_edges(df: DataFrame, cfg: RiskConfig) -> DataFrame:
 def fuzzy_link(df: DataFrame, cfg: RiskConfig) -> DataFrame:
     """(sender_id, parent_id) for every account another one claimed."""
     numbered = materialize(numbered_profiles(distinct_profiles(df), cfg.fuzzy_scorer))
+    if cfg.fuzzy_limit is None:
+        return link_without_limit(numbered, materialize(similar_pairs(numbered.select("text").distinct(), cfg.fuzzy_threshold)))
     members, matches = fuzzy_claims(numbered, cfg)
     claiming = materialize(anchors(members, matches, cfg.fuzzy_limit))
     same = members.select("i", F.explode("next").alias("j"))

@@ -6,9 +6,12 @@ further from its place than the edits around it can move it. Joining on (both le
 piece number, piece text) therefore misses no pair. What it proposes too much is removed
 by Spark's own bounded levenshtein first and by the exact distance last.
 
-A piece that very many texts hold ("smith") would propose all their pairs. For such a piece
+A piece that many texts hold ("smith") would propose all their pairs. For such a piece
 the join asks for a second one: among the piece in question at most p edits lie before it
 and at most D - p behind it, so one side is cut again into one more part than its edits.
+What still meets under one key is measured, and a key of more pairs than a cell may hold is
+laid out as a grid of cells, so no task gets more than a bounded part of it. Both steps apply
+at every table size.
 """
 
 from __future__ import annotations
@@ -19,9 +22,12 @@ from pyspark.sql import functions as F
 from ..functions.similarity import insert_delete_distance
 from ..session import materialize, shuffle_width
 
-#: Common pieces that are joined by a second one; the list is sent to all tasks.
-HOT_KEY_LIMIT = 10_000
-COMMON_PIECE_TEXTS = 20_000
+#: Texts from which on a piece is joined by a second one.
+COMMON_PIECE_TEXTS = 1_000
+#: Rows of either side that a cell of a heavy key holds, on average.
+CELL_ROWS = 4_000
+#: Keys up to which a measured list is sent to all tasks; a longer one is joined by shuffle.
+SMALL_LIST = 100_000
 KEY = ["short", "long", "piece", "body"]
 
 
@@ -88,18 +94,37 @@ def _probes(texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def common_pieces(index: DataFrame, floor: int) -> DataFrame:
-    """Pieces held by very many texts. Few by their nature, and capped: beyond the cap a piece
-    stays as it is, which proposes more but loses nothing."""
-    return (
-        index.where("piece >= 0")
-        .groupBy(*KEY)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= floor)
-        .orderBy(F.desc("n"), *KEY)
-        .limit(HOT_KEY_LIMIT)
-        .select(*KEY, F.lit(True).alias("common"))
+    """Pieces held by many texts: at most rows / floor of them, all of them."""
+    counts = index.where("piece >= 0").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") >= floor).select(*KEY, F.lit(True).alias("common"))
+
+
+def _measured(keys: DataFrame) -> DataFrame:
+    """The keys written once, and marked for broadcast if a count shows that they are few."""
+    keys = materialize(keys)
+    return F.broadcast(keys) if keys.count() <= SMALL_LIST else keys
+
+
+def gridded(index: DataFrame, probe: DataFrame, on: list[str], cell: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (row, column), the cell of their key's grid; each pair meets in one cell.
+
+    The index side is dealt to rows and repeated over columns, the probe side the other way
+    round. A light key has one cell. Heavy keys are at most rows / cell."""
+    sides = index.select(*on, F.lit(1).alias("left")).unionByName(probe.select(*on, F.lit(0).alias("left")))
+    counts = sides.groupBy(*on).agg(F.sum("left").alias("n"), F.sum(1 - F.col("left")).alias("m"))
+    heavy = _measured(
+        counts.where((F.col("n") > 0) & (F.col("m") > 0) & (F.greatest("n", "m") > cell)).select(
+            *on, F.ceil(F.col("n") / cell).cast("int").alias("rows"), F.ceil(F.col("m") / cell).cast("int").alias("columns")
+        )
     )
 
+    def dealt(df: DataFrame, own: str, other: str, place: str, repeat: str) -> DataFrame:
+        met = df.join(heavy, on, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in (own, other)})
+        met = met.withColumn(place, F.pmod(F.xxhash64("text"), F.col(own)).cast("int"))
+        return met.withColumn(repeat, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop(own, other)
+
+    return dealt(index, "rows", "columns", "row", "column"), dealt(probe, "columns", "rows", "column", "row")
+
 
 def _second_pieces(df: DataFrame, common: DataFrame, threshold: float, probing: bool) -> DataFrame:
     """Add (part, mark): a second piece for rows of a common piece, a constant for all others.
@@ -142,7 +167,7 @@ def _second_pieces(df: DataFrame, common: DataFrame, threshold: float, probing:
     parts = F.sequence(F.lit(0), edits)
     second = F.flatten(F.transform(parts, probed)) if probing else F.transform(parts, indexed)
     first_only = F.array(F.struct(F.lit(-1).alias("part"), F.lit("").alias("mark")))
-    marked = df.join(F.broadcast(common), KEY, "left")
+    marked = df.join(common, KEY, "left")
     return marked.select("text", *KEY, F.inline(F.when(F.col("common"), second).otherwise(first_only)))
 
 
@@ -154,15 +179,15 @@ def similar_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     spark = texts.sparkSession
     texts = materialize(texts.repartition(shuffle_width(spark), "text"))
     floor = int(spark.conf.get("spark.riskweave.commonPieceTexts", str(COMMON_PIECE_TEXTS)))
+    cell = int(spark.conf.get("spark.riskweave.cellRows", str(CELL_ROWS)))
     pieces = _pieces(texts, threshold)
-    probes = _probes(texts, threshold)
-    if texts.count() >= floor:
-        common = materialize(common_pieces(pieces, floor))
-        pieces = _second_pieces(pieces, common, threshold, probing=False)
-        probes = _second_pieces(probes, common, threshold, probing=True)
-    index, probe = pieces.withColumnRenamed("text", "a"), probes.withColumnRenamed("text", "b")
-    on = [c for c in (*KEY, "part", "mark") if c in index.columns]
-    proposed = index.drop("at").join(probe.drop("at"), on).where(
+    common = _measured(common_pieces(pieces, floor))
+    pieces = _second_pieces(pieces, common, threshold, probing=False)
+    probes = _second_pieces(_probes(texts, threshold), common, threshold, probing=True)
+    on = [*KEY, "part", "mark"]
+    index, probe = gridded(pieces, probes, on, cell)
+    index, probe = index.withColumnRenamed("text", "a"), probe.withColumnRenamed("text", "b")
+    proposed = index.join(probe, [*on, "row", "column"]).where(
         (F.col("a") != F.col("b")) & ((F.col("short") < F.col("long")) | (F.col("a") < F.col("b")))
     )
     total = F.col("short") + F.col("long")

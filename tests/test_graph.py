@@ -98,8 +98,8 @@ def test_empty_network(spark):
     assert features.columns == ["sender_id", "network_centrality", "network_pagerank", "is_in_cycle", "network_raw"]
 
 
-def test_large_networks_may_fall_back_to_degree(spark):
+def test_degree_may_stand_for_pagerank(spark):
     edges = edge_table(spark, [("a", "c"), ("b", "c"), ("c", "a")])
-    small = CFG.with_options({"pagerank_node_limit": 3})
+    small = CFG.with_options({"importance": "degree"})
     scores = graph.node_importance(edges, graph.graph_degrees(edges), small)
     assert {r.node: r.score for r in scores.collect()} == {"a": 0.5, "b": 0.0, "c": 1.0}

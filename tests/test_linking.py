@@ -2,13 +2,15 @@ import random
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskweave.config import RiskConfig
 from riskweave.operators import entities, linking
-from riskweave.operators.similarity_join import similar_pairs
+from riskweave.operators.similarity_join import gridded, similar_pairs
 from tests.conftest import at
 
-CFG = RiskConfig()
+CFG = RiskConfig(fuzzy_limit=5)
+FREE = RiskConfig()
 T0 = at("2026-01-01 00:00:00")
 
 
@@ -72,8 +74,16 @@ def common(request, spark):
     spark.conf.unset("spark.riskweave.commonPieceTexts")
 
 
+@pytest.fixture(params=["3", "4000"])
+def cells(request, spark):
+    """Nearly every key cut into cells, or none."""
+    spark.conf.set("spark.riskweave.cellRows", request.param)
+    yield
+    spark.conf.unset("spark.riskweave.cellRows")
+
+
 @pytest.mark.parametrize("threshold", [85.0, 70.0, 55.0])
-def test_similar_pairs_miss_nothing(spark, threshold, common):
+def test_similar_pairs_miss_nothing(spark, threshold, common, cells):
     rnd = random.Random(1)
     words = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 9))) for _ in range(160)})
     got = [frozenset((r.a, r.b)) for r in similar_pairs(spark.createDataFrame([(w,) for w in words], "text string"), threshold).collect()]
@@ -95,6 +105,22 @@ def test_linking_equals_one_at_a_time(spark, skew, seed):
         first[(u, n)] = min(t, first.get((u, n), t))
     profiles = sorted(first, key=lambda p: (first[p], *p))
     assert links(table(spark, rows).repartition(5)) == in_turn(profiles, 85.0, 5)
+    assert links(table(spark, rows).repartition(5), FREE) == in_turn(profiles, 85.0, None)
+
+
+def test_all_copies_are_one_entity_without_a_limit(spark):
+    assert links(named(spark, ["Ann Lee"] * 7), FREE) == {f"u{k:03d}": "u000" for k in range(1, 7)}
+
+
+def test_no_cell_gets_more_than_its_share(spark):
+    """A key that every text holds: 500 by 500 rows in cells of about 50 by 50, each pair in one of them."""
+    rows = spark.range(500).select(F.lit("k").alias("key"), F.col("id").cast("string").alias("text"))
+    index, probe = gridded(rows, rows, ["key"], 50)
+    on = ["key", "row", "column"]
+    met = index.withColumnRenamed("text", "a").join(probe.withColumnRenamed("text", "b"), on)
+    assert met.count() == 250_000 and met.select("a", "b").distinct().count() == 250_000
+    most = met.groupBy(*on).count().agg(F.max("count")).first()[0]
+    assert most <= 4 * 50 * 50
 
 
 def test_national_id(spark, skew):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from riskweave.config import RiskConfig
 from riskweave.operators import features
 from riskweave.operators.classifier import score_probability, train_classifier
-from riskweave.operators.isolation_forest import SAMPLE_ROWS, expected_depth, fit_forest, percentile_of, sample_trees
+from riskweave.operators.isolation_forest import expected_depth, fit_forest, percentile_of, sample_trees
 from riskweave.sources.models import load_model, save_model
 from riskweave.sources.testdata import labelled_transactions, transactions
 from tests.conftest import SF
@@ -32,7 +32,7 @@ def test_percentile_interpolates(spark):
 def test_sample_has_a_fixed_size(spark):
     df = spark.range(200_000).select(F.col("id").cast("string").alias("transaction_id"), F.col("id").cast("double").alias("amount"))
     counts = [r[1] for r in sample_trees(df, ("amount",), 20, 200_000, 1).groupBy("tree").count().collect()]
-    assert len(counts) == 20 and min(counts) == max(counts) == SAMPLE_ROWS
+    assert len(counts) == 20 and min(counts) == max(counts) == CFG.forest_sample
 
 
 def test_outliers_lead_and_layout_does_not_matter(spark):
