@@ -35,7 +35,9 @@ def _inputs(df: DataFrame) -> DataFrame:
 def split_by_hash(df: DataFrame, cfg: RiskConfig, held_out: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """A split that does not depend on how the rows are spread over partitions."""
     columns = ["transaction_id"] if "transaction_id" in df.columns else df.columns
-    marked = df.withColumn("_draw", F.pmod(F.xxhash64(F.lit(cfg.seed), *columns), F.lit(10_000)))
+    text = F.concat_ws("|", F.lit(str(cfg.seed)), *[F.col(c).cast("string") for c in columns])
+    draw = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+    marked = df.withColumn("_draw", F.pmod(draw, F.lit(10_000)))
     cut = int(held_out * 10_000)
     return marked.where(F.col("_draw") >= cut).drop("_draw"), marked.where(F.col("_draw") < cut).drop("_draw")
 

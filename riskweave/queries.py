@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 
 from .config import RiskConfig
 from .operators import behavior, entities, features, graph, linking, rules, scoring, typologies, windows
-from .operators.classifier import score_probability, train_classifier
+from .operators.classifier import score_probability, split_by_hash, train_classifier
 from .operators.isolation_forest import score_anomalies
 from .plans.score import score_batch
-from .schema import nan_to_null
+from .schema import LABEL, nan_to_null
 from .session import materialize
 from .sources import baselines, state
 from .sources.testdata import labelled_transactions, transactions
 from .sources.transactions import parse_timestamp
 
-CFG = RiskConfig()
+#: Five matches per anchor, the compatible value; ``fuzzy_link_all`` has the library's default.
+CFG = RiskConfig(fuzzy_limit=5)
 WATERMARK = datetime(2026, 1, 16)
 PAGERANK_ROUNDS = 10
 TOP_NODES = 1000
@@ -273,6 +274,11 @@ def fuzzy_link(spark, sf_dir):
     return linking.fuzzy_link(transactions(spark, sf_dir), CFG)
 
 
+@query("fuzzy_link_all")
+def fuzzy_link_all(spark, sf_dir):
+    return linking.fuzzy_link(transactions(spark, sf_dir), replace(CFG, fuzzy_limit=None))
+
+
 @query("resolve_entities")
 def resolve_entities(spark, sf_dir):
     return entities.resolve_entities(transactions(spark, sf_dir), CFG).select("transaction_id", "global_entity_id")
@@ -301,12 +307,31 @@ def iforest_score(spark, sf_dir):
 
 @query("gbt_probability")
 def gbt_probability(spark, sf_dir):
-    cfg = replace(CFG, boost_rounds=10)
-    history = labelled_transactions(spark, sf_dir)
-    training = train_classifier(history, cfg)
+    training = train_classifier(labelled_transactions(spark, sf_dir), CFG)
     return score_probability(transactions(spark, sf_dir), training.model).select("transaction_id", "ml_supervised_score")
 
 
+@query("gbt_holdout")
+def gbt_holdout(spark, sf_dir):
+    """Rows and positives of both parts of the split, and what must hold for the scores of the held-out part."""
+    history = materialize(labelled_transactions(spark, sf_dir))
+    training = train_classifier(history, CFG)
+    fitted, held = split_by_hash(history, CFG)
+    label = F.col(LABEL).cast("long")
+    counts = fitted.agg(F.count(F.lit(1)).alias("train_rows"), F.sum(label).alias("train_positives"))
+    scores = score_probability(held, training.model)
+    share = F.avg(label.cast("double"))
+    facts = scores.agg(
+        F.count(F.lit(1)).alias("held_out_rows"),
+        F.sum(label).alias("held_out_positives"),
+        F.min(F.col("ml_supervised_score").between(0, 100)).alias("in_range"),
+        (F.lit(training.area_under_pr) > share).alias("better_than_prevalence"),
+        (F.lit(training.accuracy) >= F.greatest(share, 1 - share)).alias("better_than_majority"),
+    )
+    # one row meets one row
+    return counts.withColumn("one", F.lit(1)).join(facts.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 # ---- scoring
 
 
