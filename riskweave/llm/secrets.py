@@ -8,8 +8,10 @@ coverage); the path's depth and whether it names a test or example; and the neig
 
 The forest learns from labelled findings. Where none are given, findings that state what they are serve as such: a known
 key format or an assignment to a password, secret, token or key is a secret; plain numbers, runs of dictionary words,
-and digests, revisions or identifiers named as such are not. It is fitted on a sample of at most ``sample`` labelled findings,
-the first by hash; everything else covers all findings. With one class only, or none, every candidate counts as a secret.
+and digests, revisions or identifiers named as such are not. It is fitted on at most ``sample`` labelled findings of each
+class, the first by hash, weighted by how many of its class each stands for, so a rare class is never missed and shares
+are those of all findings; everything else covers all findings. With one class only, or none, there is nothing to learn:
+what findings state of themselves decides, and those that state nothing are not secrets.
 
 Defined results: a null or empty text has no candidates; repeated rows have theirs each; other columns are not carried by
 ``find_secrets`` and pass through ``redact`` (``n_chars`` follows the new text)."""
@@ -164,20 +166,26 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE):
-    """A forest over labelled findings, None if they are of one class."""
-    key = F.xxhash64("secret", "start", "doc_id")
-    chosen = labelled.where("label is not null").orderBy(key, "secret", "start").limit(sample)
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(stored(chosen.select(F.col("label").cast("double").alias("label"), *FEATURES)))
-    if rows.select("label").distinct().count() < 2:
+    """A forest over labelled findings, at most ``sample`` of each class; None if they are of one class."""
+    sizes = {r.label: r.n for r in labelled.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
         return None
-    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=7, probabilityCol="both")
+    key = F.xxhash64("secret", "start", "doc_id")
+
+    def chosen(label: int) -> DataFrame:
+        weight = F.lit(sizes[label] / min(sizes[label], sample)).alias("weight")
+        own = labelled.where(F.col("label") == label).orderBy(key, "secret", "start").limit(sample)
+        return own.select(F.col("label").cast("double").alias("label"), weight, *FEATURES)
+
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(stored(chosen(0).unionByName(chosen(1))))
+    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=7, probabilityCol="both")
     return forest.fit(rows)
 
 
 def scored(found: DataFrame, model) -> DataFrame:
-    """Candidates with ``probability`` of being a secret."""
+    """Candidates with ``probability`` of being a secret; without a model, what they state."""
     if model is None:
-        return found.withColumn("probability", F.lit(1.0))
+        return found.withColumn("probability", F.coalesce(F.col("label").cast("double"), F.lit(0.0)))
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(found)
     out = model.setPredictionCol("").setRawPredictionCol("").transform(rows)
     return out.withColumn("probability", vector_to_array("both")[1]).drop("vector", "both")

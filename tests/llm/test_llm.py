@@ -140,6 +140,20 @@ def test_the_forest_agrees_with_findings_set_aside(spark):
     assert aside.where("(probability >= 0.5) = (label = 1)").count() >= 0.95 * aside.count()
 
 
+def test_findings_of_one_class_are_taken_at_their_word(spark):
+    clean = [(k, f"the order {10**15 + k} has sha256: {zlib.crc32(str(k).encode()):08x}{k:08x} and THESEARECAPITALS in it") for k in range(40)]
+    assert {r.doc_id: r.text for r in secrets.redact(frame(spark, clean), F.col("source")).collect()} == dict(clean)
+    stated = frame(spark, [(1, "password=h4ckm3n0wplease and 9q8w7e6r5t4yzz")])
+    assert [r.text for r in secrets.redact(stated, F.col("source")).collect()] == ["password=<SECRET> and 9q8w7e6r5t4yzz"]
+
+
+def test_rare_secrets_reach_the_forest_whatever_the_sample(spark):
+    rows = [(k, f"order {10**15 + k} sha256: {zlib.crc32(str(k).encode()):08x}{k:08x}") for k in range(1500)]
+    rows += [(5000 + k, f"token={zlib.crc32(str(k).encode()):08x}{k:04d}qz") for k in range(15)]
+    found = secrets.find_secrets(spark.createDataFrame([(k, t, "p") for k, t in rows], "doc_id long, text string, path string"), sample=20)
+    assert {r.doc_id for r in found.where("is_secret").collect()} == {5000 + k for k in range(15)}
+
+
 # ---- 5: similarity join
 
 
