@@ -1,7 +1,15 @@
 """Secrets in texts: broad candidates, and a random forest that takes out the false ones.
 
-Candidates are runs of at least 12 characters of keys (letters, digits and ``_-+/=``), without a leading ``name=``, that hold
-a digit or are mostly capitals. Features: length;
+Candidates come from three generators, which overlap on purpose; the forest takes out what is no secret:
+
+- runs of at least 12 characters of keys (letters, digits and ``_-+/=``), without a leading ``name=``, that hold a digit, are
+  mostly capitals, or mix capitals and small letters with an entropy of at least ``ENTROPY`` bits;
+- any value assigned to a password, secret, token, key or credential (``name=``, ``name: "``, ``name is``), whatever its length
+  and characters, and values with a digit that follow such a name after a space. A value is what stands in quotes, or all up to
+  white space, a quote or the next ``&name=``, without closing punctuation;
+- passwords of ``user:password@host``, with or without a scheme before.
+
+Where they overlap, the value of a name stands. Features: length;
 how likely the run's character pairs are, after counts over all documents; shares of digits, capitals and hexadecimal
 characters, changes between kinds of characters; how much of it consists of words that the same text has elsewhere (dictionary
 coverage); the path's depth and whether it names a test or example; and the neighbouring words.
@@ -39,8 +47,25 @@ THRESHOLD = 0.5
 MASK = "<SECRET>"
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=-]{12,}")
 WORD = re.compile(r"[^\W\d_]{3,}")
+HUMP = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Bits a character; texts of 12 characters reach at most 3.6.
+ENTROPY = 3.0
 FORMAT = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}")
 NAMES = re.compile(r"(?i)(passw(or)?d|pwd|secret|token|api_?key|access_?key|auth|credential)\W*$")
+_NAME = r"(?:passw(?:or)?d|pwd|secret|token|api_?key|access_?key|auth|credential)"
+#: One of these stands in each name.
+LITERALS = ("passw", "pwd", "secret", "token", "api", "access", "auth", "credential")
+#: A value is either in quotes or bare.
+_BARE = r"(?:(?!&[\w.-]+=)[^\s\"'`])+"
+_VALUE = rf"""(?:"(?P<double>[^"\n]+)"|'(?P<single>[^'\n]+)'|(?P<bare>{_BARE}))"""
+VALUE = re.compile(rf"""(?i){_NAME}["'`)\]]*(?:\s*(?:=>|:=|==?|:)\s*|\s+(?:is|was)\s+){_VALUE}""")
+SPACED = re.compile(rf"""(?i){_NAME}\s+["']?(?P<bare>(?=[^\s"'`]*\d)(?=[^\s"'`]*[a-z]){_BARE})""")
+USER = re.compile(r"(?P<scheme>://)?(?<![^\s/\"'(<=])(?P<user>[\w.%+-]*):(?!//|\d{1,5}/)(?P<bare>[^\s@\"'<>]{1,256})@(?=[\w\[])")
+MAIL = re.compile(r"(?i)^(mailto|e-?mail|contact|to|from|b?cc|reply-to|write|mail|sender|author|by)$")
+USERINFO = re.compile(r"://[^\s:/@]*:$")
+PLACEHOLDER = re.compile(r"<.*|\*+|[xX]{3,}|\$\{.*|\{\{.*|%\(.*|\$[A-Z_]+|(?i:none|null|nil|true|false|str|string|bytes|todo|redacted|changeme)|optional\W.*|\w+[.][\w.]*[(\[].*|\w+\([\w)]*")
+PLAIN = re.compile(r"[A-Z]?[^\W\d_A-Z]+")
+CLOSING = ".,;:)]}>"
 BENIGN = re.compile(r"(?i)(sha\d*|md5|digest|checksum|commit|revision|uuid|guid|etag|isbn|order|phone|version)\W*$")
 ASSIGNED = re.compile(r"[=:]\s*[\"']?$")
 TESTS = re.compile(r"(?i)(^|[/_.-])(tests?|examples?|mock|fixtures?|samples?)([/_.-]|$)")
@@ -80,28 +105,36 @@ def features(text: str, start: int, end: int, words: set[str], path: str, logs:
     run = text[start:end]
     n = len(run)
     before, after = text[max(start - 40, 0) : start], text[end : end + 1]
-    parts = WORD.findall(run)
-    pairs = sum(logs[(ord(a) << 7) | ord(b)] for a, b in zip(run, run[1:], strict=False)) / (n - 1)
+    named = bool(NAMES.search(re.sub(r"\s+(is|was)\s+$", "", before).rstrip("=:>\"' "))) or bool(USERINFO.search(before) and after == "@")
+    # names in capitals and small letters are words too, but a password made of words stays one
+    parts = WORD.findall(run) if named else [w for p in WORD.findall(run) for w in ([p] if p.lower() in words else HUMP.findall(p))]
+    # pairs outside ASCII count as one of 128 equal ones
+    pairs = sum(logs[(ord(a) << 7) | ord(b)] if a < "\x80" and b < "\x80" else -np.log(128) for a, b in zip(run, run[1:], strict=False)) / max(n - 1, 1)
     return [
         float(n),
         pairs,
         sum(map(str.isdigit, run)) / n,
         sum(map(str.isupper, run)) / n,
         sum(c in "0123456789abcdefABCDEF" for c in run) / n,
-        sum(kind(a) != kind(b) for a, b in zip(run, run[1:], strict=False)) / (n - 1),
+        sum(kind(a) != kind(b) for a, b in zip(run, run[1:], strict=False)) / max(n - 1, 1),
         sum(len(w) for w in parts if w.lower() in words) / n,
         float(path.count("/")),
         float(bool(TESTS.search(path))),
-        float(bool(NAMES.search(before.rstrip("=:\"' ")))),
+        float(named),
         float(bool(BENIGN.search(before.rstrip("=:\"' ")))),
-        float(bool(ASSIGNED.search(before))),
+        float(bool(ASSIGNED.search(before) or re.search(r"\s(is|was)\s+$", before))),
         float(before[-1:] in ("'", '"') and after == before[-1:]),
     ]
 
 
-def stated(run: str, f: list[float]) -> int | None:
-    """1: says to be a secret; 0: says not to be one."""
+def stated(run: str, f: list[float], before: str = "=") -> int | None:
+    """1: says to be a secret; 0: says not to be one. ``before``: the character before."""
     x = dict(zip(FEATURES, f, strict=True))
+    if x["named"] and PLACEHOLDER.fullmatch(run):
+        return 0
+    # a plain word after "secret: " may be prose: the forest decides
+    if x["named"] and PLAIN.fullmatch(run) and not x["quoted"] and before.isspace():
+        return 0 if x["covered"] > 0.6 else None
     if FORMAT.fullmatch(run) or (x["named"] and x["assigned"] and x["covered"] < 0.5):
         return 1
     if x["benign"] or x["digits"] > 0.9 or x["covered"] > 0.6 or (x["in_test"] and not x["named"]):
@@ -109,17 +142,63 @@ def stated(run: str, f: list[float]) -> int | None:
     return None
 
 
+def mixed(run: str) -> bool:
+    """Capitals after the first letter and small letters in an order of high entropy."""
+    if run[1:].islower() or run.isupper():
+        return False
+    share = np.unique(list(run), return_counts=True)[1] / len(run)
+    return float(-(share * np.log2(share)).sum()) >= ENTROPY
+
+
+def values_of(text: str) -> list[tuple[int, int]]:
+    """Start and end of the values of names, in order and apart from each other."""
+    found = []
+    low = text.lower()
+    patterns = (VALUE, SPACED) if any(x in low for x in LITERALS) else ()
+    matches = [m for pattern in patterns for m in pattern.finditer(text)]
+    at = text.find("@")
+    while at >= 0:
+        # the regular expression runs only over tokens that hold a colon before the @
+        token = re.search(r"\S*\Z", text[max(at - 400, 0) : at]).group()
+        if ":" in token and (m := USER.search(text, at - len(token), at + 2)):
+            if m["scheme"] or not (MAIL.match(m["user"]) or not m["user"] or m["bare"].isalpha()):
+                matches.append(m)
+        at = text.find("@", at + 1)
+    for m in matches:
+        start, end = m.span(m.lastgroup if m.re is VALUE else "bare")
+        if m.re is not VALUE or m.lastgroup == "bare":
+            while end > start and text[end - 1] in CLOSING:
+                end -= 1
+        if end > start:
+            found.append((start, end))
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(set(found)):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def spans_of(text: str) -> list[tuple[int, int]]:
     """Start and end of the candidates."""
-    out = []
+    values = values_of(text)
+    out, k = list(values), 0
     for m in CANDIDATE.finditer(text):
+        while k < len(values) and values[k][1] <= m.start():
+            k += 1
         start, run = m.start(), m.group()
+        if k < len(values) and values[k][0] < m.end():
+            # what stands before the value's name may be a key of its own
+            run = NAMES.sub("", text[start : max(values[k][0], start)])
         name, _, value = run.partition("=")
         if len(value.rstrip("=")) >= 8:
             start, run = start + len(name) + 1, value
-        if any(map(str.isdigit, run)) or 5 * sum(map(str.isupper, run)) > 4 * len(run):
-            out.append((start, m.end()))
-    return out
+        elif len(run) < 12:
+            continue
+        if any(map(str.isdigit, run)) or 5 * sum(map(str.isupper, run)) > 4 * len(run) or mixed(run):
+            out.append((start, start + len(run)))
+    return sorted(out)
 
 
 def candidates_of(logs: list[float]):
@@ -141,7 +220,7 @@ def candidates_of(logs: list[float]):
                     f = features(text, start, end, words, path or "", logs)
                     run = text[start:end]
                     place.append(k)
-                    rows.append((start, end, run, stated(run, f), f))
+                    rows.append((start, end, run, stated(run, f, text[start - 1 : start]), f))
             columns = list(zip(*[r[4] for r in rows], strict=True)) if rows else [()] * len(FEATURES)
             yield pa.RecordBatch.from_arrays(
                 [
