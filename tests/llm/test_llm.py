@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -118,6 +119,29 @@ def test_licences_are_found_and_inherited(spark):
     assert licenses.scan_licenses(d.limit(0)).count() == 0
 
 
+def test_near_licences_are_told_apart(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    r = random.Random(3)
+    prose = lambda n: " ".join("".join(r.choices("abcdefghij", k=6)) + " the of to in"[: 3 * (k % 5)] for k in range(n))
+    full = (Path(licenses.__file__).parent / "license_texts" / "LGPL-2.1.txt").read_text()
+    rows = [
+        ("AGPL-3.0", gpl.format("Affero ", 3)),
+        ("LGPL-3.0", gpl.format("Lesser ", 3)),
+        ("GPL-2.0", gpl.format("", 2)),
+        ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0"),
+        ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+        ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1"),
+        ("ISC", "SPDX-License-Identifier: ISC"),
+        ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+        ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+        ("LGPL-2.1", full),
+        (None, prose(100) + " the licence of a poet " + prose(100)),
+    ]
+    d = spark.createDataFrame([(k, None, t) for k, (_, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {x.doc_id: x.license for x in licenses.scan_licenses(d).collect()}
+    assert got == {k: name for k, (name, _) in enumerate(rows)}
+
+
 # ---- 4: secrets
 
 
