@@ -142,6 +142,21 @@ def test_near_licences_are_told_apart(spark):
     assert got == {k: name for k, (name, _) in enumerate(rows)}
 
 
+def test_licences_inside_long_or_wrapped_lines(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    r = random.Random(3)
+    prose = lambda n: " ".join("".join(r.choices("abcdefghij", k=6)) + " the of to in"[: 3 * (k % 5)] for k in range(n))
+    rows = [
+        ("MIT", f"{prose(300)} Released under the MIT License. {prose(300)}"),
+        ("Apache-2.0", f"{prose(300)} Licensed under the Apache License, Version 2.0. {prose(300)}"),
+        ("AGPL-3.0", prose(60) + "\n" + "\n".join(" ".join(gpl.format("Affero ", 3).split()[k : k + 4]) for k in range(0, 48, 4)) + "\n" + prose(60)),
+        (None, prose(100) + " the licence of a poet " + prose(100)),
+    ]
+    d = spark.createDataFrame([(k, None, t) for k, (_, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {x.doc_id: x.license for x in licenses.scan_licenses(d).collect()}
+    assert got == {k: name for k, (name, _) in enumerate(rows)}
+
+
 # ---- 4: secrets
 
 
