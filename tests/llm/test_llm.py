@@ -373,6 +373,17 @@ def test_limits_follow_the_group(spark):
     assert quality.filter_quality(frame(spark, AWKWARD).limit(0)).count() == 0
 
 
+def test_repeats_are_turned_down_by_a_clean_group_alone(spark):
+    plain = [(2 * k, " ".join(f"word{(k * 31 + i) % 997}" for i in range(60))) for k in range(120)]
+    again = " ".join(f"again{i}" for i in range(8))
+    odd = [(600, f"{again} {again} " + " ".join(f"w{i}" for i in range(48)))]  # 16 of 64 words: 25 %
+    odd += [(606, "\n".join([*[f"line {i} has words of its own" for i in range(8)], *["same line"] * 3]))]  # 2 of 11 lines
+    d = frame(spark, plain + odd)
+    signals = {r.doc_id: r.quality for r in quality.with_signals(d).where("doc_id >= 600").collect()}
+    assert not any(x.base_failed for x in signals.values()) and signals[600].repeats == 250 and signals[606].dup_lines == 181
+    assert {r.doc_id for r in quality.filter_quality(d).collect()} == {k for k, _ in plain}
+
+
 # ---- pipeline
 
 
