@@ -44,6 +44,14 @@ def op1_lm_scores(spark, sf_dir):
     return scores.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("mean_log_score"))
 
 
+@query("op1_lm_scores_order5")
+def op1_lm_scores_order5(spark, sf_dir):
+    """The usual order. Documents are scored under counts that hold themselves, so an n-gram seen once is their own and backs off."""
+    scores = score_documents(_documents(spark, sf_dir, "text"), order=5, min_count=2)
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
+    return scores.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("mean_log_score"))
+
+
 @query("op2_decontamination")
 def op2_decontamination(spark, sf_dir):
     found = contaminated(_documents(spark, sf_dir, "text"), table(spark, sf_dir, "benchmark"))

@@ -67,6 +67,12 @@ def test_scores_of_other_orders_in_many_batches(spark, monkeypatch, order):
     assert got.keys() == want.keys() and all(got[k][1] == pytest.approx(want[k][1]) for k in want)
 
 
+def test_scores_of_order_five_of_the_table(spark, docs):
+    got, want = by_id(REGISTRY["op1_lm_scores_order5"](spark, SF)), brute.backoff(docs.items(), 5)
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-3) for k in want)
+
+
 # ---- 2: decontamination
 
 
