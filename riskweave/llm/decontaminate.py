@@ -127,20 +127,28 @@ def phrase(lists: dict[int, np.ndarray], terms: np.ndarray) -> np.ndarray:
     return found
 
 
-def near(lists: dict[int, np.ndarray], terms: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spans around the rarest term that have every term within ``reach`` words of it."""
+def near(lists: dict[int, np.ndarray], terms: np.ndarray, reach: int, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans around the rarest term that have every term within ``reach`` words of it, in its own document.
+
+    ``begin``: where each document begins, one more than documents."""
     wanted = sorted(set(terms.tolist()), key=lambda t: len(lists.get(t, ())))
     if any(t not in lists for t in wanted):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     low = lists[wanted[0]]
     high, rare = low, low
+    doc = owner(begin, rare)
+    first, last = begin[doc], begin[doc + 1]
     for t in wanted[1:]:
         at = lists[t]
         k = np.searchsorted(at, rare)
         before, after = at[np.maximum(k - 1, 0)], at[np.minimum(k, len(at) - 1)]
-        best = np.where(np.abs(before - rare) < np.abs(after - rare), before, after)
-        keep = np.abs(best - rare) <= reach
+        # a place of another document is as far as can be
+        back = np.where((k > 0) & (before >= first), rare - before, reach + 1)
+        ahead = np.where((k < len(at)) & (after < last), after - rare, reach + 1)
+        best = np.where(back < ahead, before, after)
+        keep = np.minimum(back, ahead) <= reach
         rare, low, high = rare[keep], np.minimum(low, best)[keep], np.maximum(high, best)[keep]
+        first, last = first[keep], last[keep]
     return low, high
 
 
@@ -158,7 +166,7 @@ def search(items: list, windows: list[tuple[int, np.ndarray]], slop: int | None)
                 low = phrase(lists, w)
                 high = low + len(w) - 1
             else:
-                low, high = near(lists, w, len(w) + slop)
+                low, high = near(lists, w, len(w) + slop, begin)
             if not len(low):
                 continue
             doc = owner(begin, low)

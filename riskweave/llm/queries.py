@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import pii, quality
 from .backoff import score_documents
 from .common import stored, table
-from .decontaminate import contaminated
+from .decontaminate import contaminated, find_items
 from .jaccard_join import groups
 from .licenses import scan_licenses
 from .packing import pack
@@ -23,6 +23,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
+#: Words that may stand between those of a window, in proximity matches.
+PROXIMITY_SLOP = 5
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -65,6 +67,15 @@ def op2_decontamination(spark, sf_dir):
     )
 
 
+@query("op2_proximity_matches")
+def op2_proximity_matches(spark, sf_dir):
+    """Documents with an item's window of words close together, in any order: a row per document and item."""
+    found = find_items(_documents(spark, sf_dir, "text"), table(spark, sf_dir, "benchmark"), slop=PROXIMITY_SLOP)
+    return found.where("start is not null").groupBy("shard", "doc", "item_id").agg(
+        F.max("doc_id").alias("doc_id"), F.countDistinct("start", "length").alias("n_spans"), F.min("start").alias("first_start")
+    ).select("doc_id", "item_id", "n_spans", "first_start")
+
+
 @query("op3_license_scan")
 def op3_license_scan(spark, sf_dir):
     """The table has no paths: a document lies in its source and the hundred of its number."""

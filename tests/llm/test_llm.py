@@ -98,6 +98,19 @@ def test_proximity_matches_reach_over_other_words(spark):
     assert decontaminate.find_items(d, b).where("start is not null").count() == 0
 
 
+def test_proximity_matches_stay_in_their_document(spark):
+    rows = [(1, "x x x the"), (2, "one two x x the x"), (3, "the x one two"), (4, "the x x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    b = spark.createDataFrame([(7, "one two the")], "item_id long, text string")
+    near = decontaminate.find_items(d, b, slop=3).where("start is not null").collect()
+    assert sorted((r.doc_id, r.start, r.length) for r in near) == [(2, 0, 5), (3, 0, 4)]
+
+
+def test_exact_matches_are_proximity_matches_too(spark):
+    near = {r.doc_id for r in REGISTRY["op2_proximity_matches"](spark, SF).collect()}
+    assert {r.doc_id for r in REGISTRY["op2_decontamination"](spark, SF).where("contaminated").collect()} <= near
+
+
 # ---- 3: licences
 
 
