@@ -1,4 +1,6 @@
-"""Repeated passages by longest-previous-factor arrays over anchored suffixes.
+"""Repeated passages by hashed stretches over anchored suffixes, in place of longest-previous-factor arrays.
+
+The factors' lengths are not computed, only whether they reach ``length`` bytes.
 
 A byte starts a repeat if the ``length`` bytes from it also start elsewhere. In suffix order such suffixes are
 neighbours that share ``length`` bytes; among them a suffix has an earlier match if one with a smaller position stands before or
