@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, send_by_value
+from ..session import ensure_checkpoint_dir, send_by_value, shuffle_width
 
 #: Texts are worked on in slices of about this many bytes, so that a worker's memory doesn't follow the batch.
 SLICE_BYTES = 1 << 22
@@ -44,6 +44,32 @@ def small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= SMALL_KEYS else keys
 
 
+#: Rows of one key from which ``balanced_lookup`` spreads them, at the least.
+HOT_FLOOR = 64
+
+
+def balanced_lookup(left: DataFrame, right: DataFrame, key: str, rows: str, spread: list[str]) -> DataFrame:
+    """Left join of ``left`` to ``right``, which has one row per key and in ``rows`` the number of left rows of that key.
+
+    A key is hot from ``max(HOT_FLOOR, all rows / shuffle partitions)`` rows on: there are at most as many hot keys as
+    shuffle partitions, and the sum of their parts (rows / that floor, rounded up) is at most twice as large, so that
+    short list is broadcast. Left rows of a hot key are dealt over its parts by a hash of ``spread`` (a recomputed row
+    goes where it went before); its right row is repeated once per part. Left rows without a key are spread as well."""
+    spark = left.sparkSession
+    width = shuffle_width(spark)
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    floor = max(HOT_FLOOR, -(-total // width))
+    parts, salt = f"__parts_{uuid.uuid4().hex[:8]}", f"__salt_{uuid.uuid4().hex[:8]}"
+    hot = F.broadcast(right.where(F.col(rows) >= floor).select(key, F.ceil(F.col(rows) / floor).cast("int").alias(parts)))
+    spread_hash = F.xxhash64(*spread)
+    marked = left.join(hot, key, "left")
+    marked = marked.withColumn(
+        salt, F.when(F.col(key).isNull(), F.pmod(spread_hash, F.lit(width))).otherwise(F.pmod(spread_hash, F.coalesce(parts, F.lit(1))))
+    ).drop(parts)
+    copies = right.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)))
+    return marked.join(copies.drop(parts), [key, salt], "left").drop(salt)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -40,4 +40,13 @@ SQL: dict[str, str] = {
                coalesce(i.n, 0)::BIGINT AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256,
                coalesce(c.n, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id""",
+    "op11_warc_capture_index": """
+        WITH q AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+                          sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        h AS (SELECT payload_digest, max(page_id) AS head FROM q WHERE payload_bytes >= 1000 GROUP BY payload_digest),
+        m AS (SELECT q.*, h.head, h.head IS NOT NULL AND (q.page_id IS NULL OR q.page_id < h.head) AS revisit
+              FROM q LEFT JOIN h ON q.payload_bytes >= 1000 AND q.payload_digest = h.payload_digest)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN revisit THEN head END AS refers_to
+        FROM m""",
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality
+from . import pii, quality, warc
 from .backoff import score_documents
 from .common import stored, table
 from .decontaminate import contaminated, find_items
@@ -133,3 +133,10 @@ def op10_quality_rules(spark, sf_dir):
         *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")],
         "kept",
     )
+
+
+@query("op11_warc_capture_index")
+def op11_warc_capture_index(spark, sf_dir):
+    """Every page written as a WARC record and read back through the capture index."""
+    got = warc.archive(table(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
