@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import pii, quality, warc
 from .backoff import score_documents
 from .common import stored, table
+from .conversations import repair_conversations
 from .decontaminate import contaminated, find_items
 from .jaccard_join import groups
 from .licenses import scan_licenses
@@ -140,3 +141,10 @@ def op11_warc_capture_index(spark, sf_dir):
     """Every page written as a WARC record and read back through the capture index."""
     got = warc.archive(table(spark, sf_dir, "pages"))
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark, sf_dir):
+    """Every conversation, damaged by the contract's rule, repaired by the cheapest edits."""
+    got = repair_conversations(table(spark, sf_dir, "conversations"))
+    return got.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
