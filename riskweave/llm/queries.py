@@ -12,6 +12,7 @@ from . import pii, quality, warc
 from .backoff import score_documents
 from .common import stored, table
 from .conversations import repair_conversations
+from .periodic import periodic_runs
 from .decontaminate import contaminated, find_items
 from .jaccard_join import groups
 from .licenses import scan_licenses
@@ -148,3 +149,10 @@ def op12_conversation_repair(spark, sf_dir):
     """Every conversation, damaged by the contract's rule, repaired by the cheapest edits."""
     got = repair_conversations(table(spark, sf_dir, "conversations"))
     return got.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    """Runs of words in every whole document, with the contract's planted repetition."""
+    got = periodic_runs(_documents(spark, sf_dir, "text"))
+    return got.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
