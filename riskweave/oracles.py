@@ -376,7 +376,87 @@ STATEMENTS: dict[str, str] = {
         FROM scored, (SELECT CAST(unnest([20, 35, 40, 45]) AS DOUBLE) AS threshold) GROUP BY threshold""",
 }
 
-RECURSIVE = {"lcs", "walk"}
+# ---- isolation forest of hashed draws (riskweave/operators/hashed_forest.py): the same trees, level by level
+FOREST_TREES, FOREST_SAMPLE, FOREST_DEPTH, FOREST_SEED, FOREST_SHARE = 100, 256, 8, 42, 0.01
+_FX = ("amount", "account_age_days", "user_risk_score", "historical_avg_txn", "historical_std_dev", "known_counterparties")
+_FS = ", ".join(f"f{i}" for i in range(len(_FX)))
+
+
+def _draw(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT)"
+
+
+def _pick(split: str, values: str) -> str:
+    """The value of the split's feature: ``split`` holds the feature, ``values`` the row."""
+    return f"CASE {split}.feature " + " ".join(f"WHEN {i} THEN {values}.f{i}" for i in range(len(_FX))) + " END"
+
+
+def _expected(n: str) -> str:
+    return f"CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2.0 * (ln({n} - 1.0) + 0.5772156649015329) - 2.0 * ({n} - 1.0) / {n} END"
+
+
+TABLES["fx"] = "SELECT transaction_id AS rid, " + ", ".join(
+    f"coalesce(CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END, CAST(0 AS DOUBLE)) AS f{i}"
+    for i, c in enumerate(_FX)
+) + " FROM txn"
+TABLES["fslots"] = f"""SELECT k, least(CAST(1 AS DOUBLE), w / k) AS share, rows_in FROM (
+    SELECT w, rows_in, least(greatest(CAST(ceil(w) AS BIGINT), 1), {FOREST_TREES}) AS k
+    FROM (SELECT CAST(1.5 AS DOUBLE) * {FOREST_SAMPLE} * {FOREST_TREES} / greatest(count(*), 1) AS w, count(*) AS rows_in FROM fx))"""
+TABLES["fsample"] = f"""SELECT rid, {_FS}, tree FROM (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY chance, rid) AS place FROM (
+      SELECT rid, {_FS}, CAST(({_draw(f"'{FOREST_SEED}:' || rid")} + j) % {FOREST_TREES} AS INTEGER) AS tree,
+             {_draw(f"'{FOREST_SEED}:' || rid || ':' || CAST(j AS VARCHAR)")} AS chance
+      FROM (SELECT *, unnest(range((SELECT k FROM fslots))) AS j FROM fx))
+    WHERE CAST(chance AS DOUBLE) < (SELECT share FROM fslots) * CAST(281474976710656 AS DOUBLE))
+  WHERE place <= {FOREST_SAMPLE}"""
+TABLES["fa0"] = f"SELECT tree, 1 AS node, rid, {_FS} FROM fsample"
+_node_key = "'" + str(FOREST_SEED) + ":' || CAST(tree AS VARCHAR) || ':' || CAST(node AS VARCHAR)"
+for _l in range(FOREST_DEPTH + 1):
+    _spread = [f"CAST(max(f{i}) > min(f{i}) AS INTEGER) AS sp{i}" for i in range(len(_FX))]
+    TABLES[f"fc{_l}"] = f"""SELECT *, {_draw(_node_key + " || ':f'")} % greatest(cnt, 1) AS k,
+        {_l} < {FOREST_DEPTH} AND n > 1 AND cnt > 0 AS split FROM (
+        SELECT *, {" + ".join(f"sp{i}" for i in range(len(_FX)))} AS cnt FROM (
+          SELECT tree, node, count(*) AS n, {", ".join(_spread)} FROM fa{_l} GROUP BY tree, node))"""
+    _choose = " ".join(
+        f"WHEN sp{i} = 1 AND k = {' + '.join([f'sp{j}' for j in range(i)]) or '0'} THEN {i}" for i in range(len(_FX))
+    )
+    TABLES[f"ff{_l}"] = f"SELECT tree, node, n, CASE {_choose} END AS feature FROM fc{_l} WHERE split"
+    TABLES[f"fv{_l}"] = f"""SELECT tree, node, feature, v, row_number() OVER (PARTITION BY tree, node ORDER BY v) - 1 AS r,
+        count(*) OVER (PARTITION BY tree, node) AS m FROM (
+        SELECT DISTINCT a.tree, a.node, c.feature, {_pick("c", "a")} AS v FROM fa{_l} a JOIN ff{_l} c ON a.tree = c.tree AND a.node = c.node)"""
+    TABLES[f"ft{_l}"] = f"""SELECT tree, node, feature, v AS threshold FROM fv{_l}
+        WHERE r = {_draw(_node_key + " || ':c'")} % (m - 1)"""
+    TABLES[f"fl{_l}"] = f"""SELECT tree, node, -1 AS feature, CAST(0 AS DOUBLE) AS threshold,
+        CAST(1000 * {_l} + floor(1000 * ({_expected("n")}) + 0.5) AS BIGINT) AS path_milli FROM fc{_l} WHERE NOT split"""
+    if _l < FOREST_DEPTH:
+        TABLES[f"fa{_l + 1}"] = f"""SELECT a.tree, 2 * a.node + CASE WHEN ({_pick("t", "a")}) > t.threshold THEN 1 ELSE 0 END AS node,
+            a.rid, {", ".join(f"a.f{i}" for i in range(len(_FX)))} FROM fa{_l} a JOIN ft{_l} t ON a.tree = t.tree AND a.node = t.node"""
+TABLES["fnodes"] = " UNION ALL ".join(
+    f"SELECT tree, node, feature, threshold, CAST(NULL AS BIGINT) AS path_milli FROM ft{_l} UNION ALL SELECT * FROM fl{_l}"
+    for _l in range(FOREST_DEPTH + 1)
+)
+TABLES["fwalk"] = f"""SELECT x.rid, g.tree, 1 AS node, {", ".join(f"x.f{i}" for i in range(len(_FX)))}
+      FROM fx x CROSS JOIN (SELECT DISTINCT tree FROM fnodes) g
+    UNION ALL
+    SELECT w.rid, w.tree, 2 * w.node + CASE WHEN ({_pick("n", "w")}) > n.threshold THEN 1 ELSE 0 END,
+           {", ".join(f"w.f{i}" for i in range(len(_FX)))}
+      FROM fwalk w JOIN fnodes n ON w.tree = n.tree AND w.node = n.node WHERE n.feature >= 0"""
+TABLES["fnorm"] = f"""SELECT s, rid FROM (
+    SELECT w.rid, round_even(-pow(2.0, -(CAST(sum(n.path_milli) AS DOUBLE) / (SELECT count(DISTINCT tree) FROM fnodes)
+             / CAST(1000 AS DOUBLE)) / greatest({_expected(f"least({FOREST_SAMPLE}, (SELECT rows_in FROM fslots))")}, 1.0))
+             * 1000000, 0) / 1000000 AS s
+    FROM fwalk w JOIN fnodes n ON w.tree = n.tree AND w.node = n.node WHERE n.feature = -1 GROUP BY w.rid)"""
+TABLES["foffset"] = f"""SELECT (low + (high - low) * (place - floor(place))) / 1000000 AS cutoff FROM (
+    SELECT min(CASE WHEN upto > floor(place) THEN q END) AS low, min(CASE WHEN upto > ceil(place) THEN q END) AS high,
+           max(place) AS place FROM (
+      SELECT q, sum(n) OVER (ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+             (sum(n) OVER () - 1) * {FOREST_SHARE} AS place
+      FROM (SELECT CAST(round_even(s * 1000000, 0) AS BIGINT) AS q, count(*) AS n FROM fnorm GROUP BY 1)))"""
+STATEMENTS["iforest_score"] = """SELECT rid AS transaction_id,
+    round_even(least(greatest((0.5 - (s - (SELECT cutoff FROM foffset))) * 100, 0), 100) * 100, 0) / 100 AS ml_anomaly_score
+    FROM fnorm"""
+
+RECURSIVE = {"lcs", "walk", "fwalk"}
 
 
 def _needed(sql: str) -> list[str]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .config import RiskConfig
 from .operators import behavior, entities, features, graph, linking, rules, scoring, typologies, windows
 from .operators.classifier import score_probability, split_by_hash, train_classifier
+from .operators.hashed_forest import score_hashed
 from .operators.isolation_forest import score_anomalies
 from .plans.score import score_batch
 from .schema import LABEL, nan_to_null
@@ -302,6 +303,13 @@ def entity_summary(spark, sf_dir):
 
 @query("iforest_score")
 def iforest_score(spark, sf_dir):
+    """Trees from whole-number draws of md5, which the SQL grows alike."""
+    return score_hashed(transactions(spark, sf_dir), CFG).select("transaction_id", "ml_anomaly_score")
+
+
+@query("iforest_score_sampled")
+def iforest_score_sampled(spark, sf_dir):
+    """Trees from a random generator, checked by properties."""
     return score_anomalies(transactions(spark, sf_dir), CFG).select("transaction_id", "ml_anomaly_score")
 
 

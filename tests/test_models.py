@@ -72,3 +72,30 @@ def test_classifier_learns_and_is_stored(spark, tmp_path):
     assert score_probability(live, None).where("ml_supervised_score = 0").count() == live.count()
     with pytest.raises(ValueError):
         train_classifier(live, CFG)
+
+
+def test_hashed_forest_repeats_itself_and_finds_the_outlier(spark):
+    from riskweave.operators.hashed_forest import fit_hashed_forest
+
+    rows = [(f"t{k:04d}", 100.0 + k % 7, 400 + k % 5, 50, 120.0, 30.0, 10) for k in range(600)]
+    rows.append(("t9999", 9_000_000.0, 1, 99, 5.0, 1.0, 0))
+    df = spark.createDataFrame(
+        rows, "transaction_id string, amount double, account_age_days int, user_risk_score int, historical_avg_txn double, "
+        "historical_std_dev double, known_counterparties int"
+    )
+    one = fit_hashed_forest(df, CFG)
+    two = fit_hashed_forest(df.repartition(5), CFG)
+    assert one.nodes.sort_values(["tree", "node"]).reset_index(drop=True).equals(two.nodes.sort_values(["tree", "node"]).reset_index(drop=True))
+    scores = {r.transaction_id: r.ml_anomaly_score for r in one.score(df).collect()}
+    assert scores["t9999"] == max(scores.values()) and 0 <= min(scores.values())
+
+
+def test_hashed_forest_cuts_are_drawn_from_md5():
+    import pandas as pd
+
+    from riskweave.operators.hashed_forest import _grower, draw
+
+    pdf = pd.DataFrame({"tree": [3] * 4, "a": [1.0, 2.0, 3.0, 4.0], "b": [5.0, 5.0, 5.0, 5.0]})
+    nodes = _grower(("a", "b"), 42, 8)(pdf).set_index("node")
+    assert nodes.loc[1, "feature"] == 0  # b has one value: only a can split
+    assert nodes.loc[1, "threshold"] == [1.0, 2.0, 3.0][draw("42:3:1:c") % 3]
