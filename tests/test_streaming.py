@@ -90,3 +90,36 @@ def test_state_is_made_up_for_after_a_stop_between_write_and_state(spark, tmp_pa
     after = state.load_state(spark, marks)
     assert after.total_processed_to_date == source.count() == spark.read.parquet(out).count()
     assert after.last_run_timestamp == source.agg(F.max("timestamp")).first()[0]
+
+
+def test_exact_windows_equal_batch_across_files(spark, tmp_path):
+    """A burst crosses file borders, a row comes late within the lateness; D1 and D3 on the stream equal the batch."""
+    from datetime import timedelta as td
+
+    from riskweave.operators import windows
+    from riskweave.streaming import trailing
+
+    cfg = RiskConfig(hourly_limit=3, aggregation_count=4, aggregation_amount=5000.0, aggregation_hours=24)
+    burst = [("a", "x", 100.0, T0 + td(minutes=7 * k)) for k in range(8)]
+    slow = [("b", "y", 1500.0, T0 + td(hours=5 * k, seconds=k)) for k in range(6)]
+    same = [("c", "y", 10.0, T0 + td(minutes=30))] * 5
+    # One watermark serves all senders: files follow time, but the rows at 21 and 28 minutes swap files (7 < 10 minutes late).
+    ordered = sorted(burst + slow + same, key=lambda r: r[3])
+    border = ordered.index(burst[4])
+    ordered[border - 1], ordered[border] = ordered[border], ordered[border - 1]
+    files = [ordered[:border], ordered[border : border + 8], ordered[border + 8 :]]
+    folder = str(tmp_path / "in")
+    for k, rows in enumerate(files):
+        one = payments(spark, rows).withColumn("transaction_id", F.concat(F.lit(f"f{k}-"), "transaction_id")).coalesce(1)
+        one.write.mode("append").parquet(folder)  # one part a file, so a file is one micro-batch
+    clock = payments(spark, [("~clock", "z", 1.0, T0 + td(days=30))])
+    clock.withColumn("transaction_id", F.lit("clock")).coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    stream = monitor.read_stream(spark, folder, schema, max_files=1)
+    sums = trailing.trailing_stream(stream, cfg)
+    got = drain(sums, spark, "trailing_sums").where("sender_id != '~clock'")
+    source = spark.read.parquet(folder).where("sender_id != '~clock'")
+    d1, d3 = windows.hourly_velocity(source, cfg), windows.aggregation(source, cfg)
+    assert d1.count() > 0 and d3.count() > 0
+    for mine, batch in ((trailing.velocity_exact(got, cfg), d1), (trailing.aggregation_exact(got, cfg), d3)):
+        assert mine.count() == batch.count() and mine.exceptAll(batch.select(mine.columns)).count() == 0
