@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RiskConfig
@@ -42,14 +42,56 @@ def split_by_hash(df: DataFrame, cfg: RiskConfig, held_out: float = 0.2) -> tupl
     return marked.where(F.col("_draw") >= cut).drop("_draw"), marked.where(F.col("_draw") < cut).drop("_draw")
 
 
+#: Draws are grouped by their top bits to find each class's cut; only the rows of the cut's group are ranked.
+DRAW_BITS, BUCKET_BITS = 32, 16
+
+
+def split_by_class(df: DataFrame, cfg: RiskConfig, label: str = LABEL, held_out: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Hold out exactly ``floor(held_out * n + 0.5)`` rows of each class: those first by md5 draw, then transaction_id.
+
+    Counts per class and draw group (at most 2^16 groups a class) find the group that holds each class's cut; the
+    rows below it are held out, and the rows of that group are ranked by a window over it alone, so no class is ever
+    gathered into one task. A null label is a class of its own."""
+    ids = ["transaction_id"] if "transaction_id" in df.columns else df.columns
+    text = F.concat_ws("|", F.lit(str(cfg.seed)), *[F.col(c).cast("string") for c in ids])
+    draw = F.conv(F.substring(F.md5(text.cast("binary")), 1, DRAW_BITS // 4), 16, 10).cast("long")
+    marked = df.withColumns({"_draw": draw, "_class": F.col(label).cast("string")})
+    marked = marked.withColumn("_bucket", F.shiftright("_draw", DRAW_BITS - BUCKET_BITS))
+    counts = marked.groupBy("_class", "_bucket").agg(F.count(F.lit(1)).alias("n")).collect()
+    totals: dict = {}
+    for r in counts:
+        totals.setdefault(r["_class"], []).append((r["_bucket"], r["n"]))
+    cuts = []
+    for name, buckets in totals.items():
+        want = int(held_out * sum(n for _, n in buckets) + 0.5)
+        below = 0
+        for bucket, n in sorted(buckets):
+            if below + n >= want:
+                cuts.append((name, int(bucket), want - below))
+                break
+            below += n
+    schema = "_class string, _cut long, _need long"
+    cut = F.broadcast(df.sparkSession.createDataFrame(cuts or [], schema))
+    met = marked.join(cut, marked["_class"].eqNullSafe(cut["_class"]), "left").drop(cut["_class"])
+    edge = met.where(F.col("_bucket") == F.col("_cut"))
+    order = Window.partitionBy("_class", "_bucket").orderBy("_draw", *ids)
+    edge = edge.withColumn("_held", F.row_number().over(order) <= F.col("_need"))
+    rest = met.where(F.col("_cut").isNull() | (F.col("_bucket") != F.col("_cut"))).withColumn(
+        "_held", F.coalesce(F.col("_bucket") < F.col("_cut"), F.lit(False))
+    )
+    both = edge.unionByName(rest)
+    helper = ["_draw", "_class", "_bucket", "_cut", "_need", "_held"]
+    return both.where(~F.col("_held")).drop(*helper), both.where(F.col("_held")).drop(*helper)
+
+
 def train_classifier(df: DataFrame, cfg: RiskConfig, label: str = LABEL) -> Training:
-    """Fit on 80 % of the labelled rows, judge on the rest."""
+    """Fit on 80 % of each class of the labelled rows, judge on the rest."""
     if label not in df.columns:
         raise ValueError(f"training needs the label column {label}")
     columns = [PREFIX + n for n in SUPERVISED_FEATURES]
     keep = ["transaction_id"] if "transaction_id" in df.columns else []
     rows = _inputs(df).select(*keep, *columns, F.col(label).cast("double").alias("label"))
-    training, validation = split_by_hash(materialize(rows), cfg)
+    training, validation = split_by_class(materialize(rows), cfg, "label")
     steps = [
         VectorAssembler(inputCols=columns, outputCol="_features"),
         GBTClassifier(

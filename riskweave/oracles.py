@@ -304,10 +304,13 @@ STATEMENTS: dict[str, str] = {
     "fuzzy_pairs": """SELECT a.sender_id AS profile_id, b.sender_id AS match_id, round(score, 6) AS score
         FROM matches m JOIN profiles a ON a.i = m.i JOIN profiles b ON b.i = m.j""",
     "fuzzy_link": "SELECT sender_id, parent_id FROM name_map",
-    "gbt_holdout": """SELECT count(*) FILTER (draw >= 2000) AS train_rows, CAST(sum(is_sar_filed) FILTER (draw >= 2000) AS BIGINT) AS train_positives,
-        count(*) FILTER (draw < 2000) AS held_out_rows, CAST(sum(is_sar_filed) FILTER (draw < 2000) AS BIGINT) AS held_out_positives,
-        true AS in_range, true AS better_than_prevalence, true AS better_than_majority
-        FROM (SELECT is_sar_filed, CAST('0x' || substr(md5('42|' || transaction_id), 1, 8) AS BIGINT) % 10000 AS draw FROM labelled)""",
+    "gbt_holdout": """SELECT count(*) FILTER (NOT held) AS train_rows, CAST(sum(is_sar_filed) FILTER (NOT held) AS BIGINT) AS train_positives,
+        count(*) FILTER (held) AS held_out_rows, CAST(sum(is_sar_filed) FILTER (held) AS BIGINT) AS held_out_positives,
+        true AS in_range
+        FROM (SELECT is_sar_filed, row_number() OVER (PARTITION BY is_sar_filed ORDER BY draw, transaction_id)
+                     <= floor(0.2 * count(*) OVER (PARTITION BY is_sar_filed) + 0.5) AS held
+              FROM (SELECT is_sar_filed, transaction_id, CAST('0x' || substr(md5('42|' || transaction_id), 1, 8) AS BIGINT) AS draw
+                    FROM labelled))""",
     "fuzzy_link_all": "SELECT sender_id, parent_id FROM free_name_map",
     "resolve_entities": "SELECT transaction_id, global_entity_id FROM txn JOIN entity_of USING (sender_id)",
     "entity_summary": """SELECT coalesce(primary_id, sender_id) AS global_entity_id, count(DISTINCT sender_id) AS account_count,

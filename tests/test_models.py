@@ -99,3 +99,18 @@ def test_hashed_forest_cuts_are_drawn_from_md5():
     nodes = _grower(("a", "b"), 42, 8)(pdf).set_index("node")
     assert nodes.loc[1, "feature"] == 0  # b has one value: only a can split
     assert nodes.loc[1, "threshold"] == [1.0, 2.0, 3.0][draw("42:3:1:c") % 3]
+
+
+def test_split_by_class_holds_out_exact_shares(spark):
+    from riskweave.operators.classifier import split_by_class
+
+    rows = [(f"t{k:05d}", 1 if k % 97 == 0 else (None if k % 331 == 0 else 0)) for k in range(5000)]
+    df = spark.createDataFrame(rows, "transaction_id string, is_sar_filed int")
+    fitted, held = split_by_class(df, CFG, "is_sar_filed")
+    for label in (0, 1, None):
+        n = sum(1 for _, y in rows if y == label)
+        kept = held.where(F.col("is_sar_filed").eqNullSafe(F.lit(label))).count()
+        assert kept == int(0.2 * n + 0.5)
+    assert fitted.count() + held.count() == 5000 and fitted.join(held, "transaction_id").count() == 0
+    again = split_by_class(df.repartition(7), CFG, "is_sar_filed")[1]
+    assert sorted(r[0] for r in again.select("transaction_id").collect()) == sorted(r[0] for r in held.select("transaction_id").collect())
