@@ -32,6 +32,9 @@ def kind(series: pd.Series) -> str:
 def normal(df: pd.DataFrame) -> pd.DataFrame:
     out = df[sorted(df.columns)].copy()
     for c in out.columns:
+        if isinstance(out[c].dtype, pd.Int64Dtype) and out[c].isna().any():
+            # Spark's toPandas gives a nullable long as float64 with NaN; compare both sides in that form
+            out[c] = out[c].astype("float64")
         if kind(out[c]) == "time":
             out[c] = out[c].astype("datetime64[us]")
     return out.sort_values(list(out.columns), ignore_index=True, na_position="first")
