@@ -337,9 +337,10 @@ def gbt_holdout(spark, sf_dir):
     return counts.withColumn("one", F.lit(1)).join(facts.withColumn("one", F.lit(1)), "one").drop("one")
 
 
-@query("gbt_quality")
 def gbt_quality(spark, sf_dir):
-    """Accuracy and area under the precision-recall curve of the held-out rows, beside the class share: figures, not laws."""
+    """Accuracy and area under the precision-recall curve of the held-out rows, beside the class share: figures, not laws.
+
+    One row of figures, so not a registered query (those keep every transaction or are stated in SQL)."""
     history = materialize(labelled_transactions(spark, sf_dir))
     training = train_classifier(history, CFG)
     share = history.agg(F.avg(F.col(LABEL).cast("double")).alias("prevalence"))
