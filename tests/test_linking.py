@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskweave.config import RiskConfig
 from riskweave.operators import entities, linking
-from riskweave.operators.similarity_join import gridded, similar_pairs
+from riskweave.operators.similarity_join import _meeting, gridded, length_pairs, similar_pairs
 from tests.conftest import at
 
 CFG = RiskConfig(fuzzy_limit=5)
@@ -141,3 +141,38 @@ def test_name_link_is_looked_up_for_the_primary_once(spark, skew):
 def test_unknown_scorer(spark):
     with pytest.raises(ValueError):
         linking.fuzzy_link(named(spark, ["a"]), CFG.with_options({"fuzzy_scorer": "nope"}))
+
+
+@pytest.mark.parametrize("most", ["0", "30", "600"])
+def test_similar_pairs_by_subsequences_or_pieces(spark, most):
+    """Every pair of lengths joined by pieces, some, or nearly all by subsequences: the same pairs."""
+    spark.conf.set("spark.riskweave.subsequences", most)
+    try:
+        rnd = random.Random(2)
+        base = ["".join(rnd.choice("aabé ") for _ in range(rnd.randint(0, 17))) for _ in range(60)]
+        words = set(base)
+        for w in base:
+            for _ in range(2):
+                cut = [c for c in w if rnd.random() > 0.1]
+                cut.insert(rnd.randint(0, len(cut)), rnd.choice("abx"))
+                words.add("".join(cut))
+        words = sorted(words)
+        df = spark.createDataFrame([(w,) for w in words] + [(None,)], "text string")
+        got = [frozenset((r.a, r.b)) for r in similar_pairs(df, 85.0).collect()]
+    finally:
+        spark.conf.unset("spark.riskweave.subsequences")
+    expected = {frozenset((a, b)) for k, a in enumerate(words) for b in words[k + 1 :] if is_close(a, b, 85.0)}
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_names_that_share_a_part_do_not_all_meet(spark):
+    """3,000 different names with the same first half: what is compared follows the names, not their pairs."""
+    spark.conf.set("spark.riskweave.commonPieceTexts", "1000000")
+    try:
+        rows = spark.range(3000).select(F.concat(F.lit("maximilian "), F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 4)).alias("text")).distinct()
+        rows = rows.withColumn("id", F.monotonically_increasing_id()).localCheckpoint()
+        met = _meeting(rows, length_pairs(rows, 95.0, 600), 4000)
+        assert length_pairs(rows, 95.0, 600).where("by_parts").isEmpty()
+        assert met.count() <= 0.05 * rows.count() ** 2 / 2
+    finally:
+        spark.conf.unset("spark.riskweave.commonPieceTexts")
