@@ -3,9 +3,9 @@
 A run is a stretch of words with smallest period q (words q apart are equal), at least ``max(MIN_LENGTH, EXPONENT * q)``
 long, that no neighbouring word extends with period q.
 
-1. Words get ids and the id sequence is compressed by Re-Pair: the most frequent pair of adjacent symbols becomes a new
-   symbol, again and again, while a pair occurs twice (at most ``RULES`` rules a document: the rules only save work, what
-   is found does not depend on them). Above the remaining top-level symbols a balanced tree of virtual pairs completes the
+1. Words get ids and the id sequence is compressed by Re-Pair until no pair of adjacent symbols occurs twice: in each
+   round the pairs are counted, and an occurrence becomes its new symbol where its pair is more frequent than those
+   that overlap it. Above the remaining top-level symbols a balanced tree of virtual pairs completes the
    derivation, so every two neighbouring words are split by exactly one node's boundary.
 2. Every run lies in the expansion of a deepest node and crosses its boundary. For each distinct node, once, the runs
    that cross its boundary inside its expansion are found at its first occurrence: a run of period q crossing boundary m
@@ -15,7 +15,8 @@ long, that no neighbouring word extends with period q.
 3. A nonterminal's runs are translated to every position it has in the derivation. A translated run that a neighbouring
    word of the document extends is not maximal there (it is found again at a higher node); the others are the runs.
 
-Inside a document this is numpy; Spark deals documents over tasks in slices of bounded bytes and hashes the results.
+Inside a task this is numpy over slices of documents laid end to end: each document has word ids of its own, so no
+pair, repetition or run reaches from one into the next. Spark deals documents over tasks.
 
 Defined results: a null text has no words; a null doc_id plants nothing (there is no decimal to hash); repeated rows give
 repeated rows; other columns are not carried."""
@@ -32,12 +33,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..session import send_by_value
+from .common import mix
 
 MIN_LENGTH = 6
 EXPONENT = 4
-#: Re-Pair rules at most per document, and rules made per count of pairs (work, not results).
-RULES = 32
-BATCH = 32
+#: Documents are worked on together in slices of about this many words, one document at least.
+SLICE_WORDS = 1 << 17
 #: Words an extension is followed one by one before hashes take over.
 DIRECT = 8
 #: Probes extended at once (memory of a task).
@@ -135,46 +136,58 @@ def _direct(w: np.ndarray, p: np.ndarray, q: np.ndarray, left_most: np.ndarray,
     return left, right
 
 
-def re_pair(ids: np.ndarray, rules: int = RULES, batch: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
-    """Top-level symbols and rules (left, right) of a Re-Pair grammar; terminals are ids, rule k is symbol base + k.
+def re_pair(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Top-level symbols, rules (left, right) and symbols' lengths of a Re-Pair grammar; terminals are ids, rule k is base + k.
 
-    Pairs are counted once for every ``batch`` rules; the most frequent of them are replaced in that order, each only where
-    it still occurs twice or more."""
+    A position is open while its pair may occur twice. Of pairs equally frequent a hash decides, so that a long
+    repeated passage is halved by every round."""
     seq = ids.astype(np.int64)
     base = int(seq.max()) + 1 if len(seq) else 0
-    made: list[tuple[int, int]] = []
-    while len(seq) >= 4 and len(made) < rules:
-        keys, counts = np.unique(seq[:-1] * np.int64(1 << 31) + seq[1:], return_counts=True)
-        order = np.argsort(-counts, kind="stable")[:batch]
-        order = order[counts[order] >= 2]
-        if not len(order):
+    made, lengths = [np.empty((0, 2), np.int64)], np.ones(base, np.int64)
+    open_ = np.ones(len(seq), bool)
+    open_[-1:] = False
+    while True:
+        # in a stretch of equal symbols, pairs don't overlap: every other one from its start
+        same = np.flatnonzero(seq[:-1] == seq[1:])
+        first = np.diff(same, prepend=-2) != 1
+        odd = same[(same - same[np.maximum.accumulate(np.where(first, np.arange(len(same)), 0))]) % 2 == 1]
+        open_[odd] = False
+        at = np.flatnonzero(open_)
+        keys, pair, counts = np.unique(seq[at] * np.int64(1 << 31) + seq[at + 1], return_inverse=True, return_counts=True)
+        often = counts >= 2
+        if not often.any():
             break
-        grew = False
-        for key in keys[order].tolist():
-            if len(made) >= rules or len(seq) < 4:
-                break
-            left, right = divmod(int(key), 1 << 31)
-            at = np.flatnonzero((seq[:-1] == left) & (seq[1:] == right))
-            if left == right and len(at):  # in a stretch of equal symbols, pairs don't overlap: every other one from its start
-                first = np.concatenate([[True], np.diff(at) != 1])
-                run_start = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
-                at = at[(at - run_start) % 2 == 0]
-            if len(at) < 2:
-                continue
-            seq[at] = base + len(made)
-            seq = np.delete(seq, at + 1)
-            made.append((left, right))
-            grew = True
-        if not grew:
-            break
-    return seq, np.array(made, np.int64).reshape(-1, 2)
-
-
-def _nodes(top: np.ndarray, made: np.ndarray, base: int):
-    """Each distinct node with a boundary: (first start, length, boundary offset) and its occurrences' starts."""
-    lengths = np.ones(base + len(made), np.int64)
-    for k, (a, b) in enumerate(made):
-        lengths[base + k] = lengths[a] + lengths[b]
+        order = np.lexsort((mix(keys.view(np.uint64)), -counts))
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys), 0, -1)
+        twice = often[pair]
+        at, pair = at[twice], pair[twice]
+        weight = np.zeros(len(seq) + 1, np.int64)
+        weight[at] = rank[pair]
+        chosen = (weight[at] > weight[at - 1]) & (weight[at] > weight[at + 1])
+        used = np.bincount(pair[chosen], minlength=len(keys)) >= 2
+        chosen &= used[pair]
+        open_[:] = False
+        open_[at] = True
+        open_[odd] = open_[odd - 1]
+        new = np.cumsum(used) - 1
+        spot = at[chosen]
+        made.append(np.stack(np.divmod(keys[used], np.int64(1 << 31)), axis=1))
+        seq[spot] = len(lengths) + new[pair[chosen]]
+        lengths = np.concatenate([lengths, lengths[made[-1]].sum(axis=1)])
+        open_[spot] = open_[spot - 1] = True
+        stays = np.ones(len(seq), bool)
+        stays[spot + 1] = False
+        seq, open_ = seq[stays], open_[stays]
+        open_[-1:] = False
+    return seq, np.concatenate(made), lengths
+
+
+def _nodes(top: np.ndarray, made: np.ndarray, lengths: np.ndarray, cuts: np.ndarray):
+    """Each distinct node with a boundary: (first start, length, boundary offset) and its occurrences' starts.
+
+    ``cuts`` are the starts of the documents; no virtual pair reaches over one."""
+    base = len(lengths) - len(made)
     starts = np.concatenate([[0], np.cumsum(lengths[top])[:-1]]).astype(np.int64)
     # Occurrences of rules in the derivation, expanded from the top level down.
     occ_pos, occ_sym = [], []
@@ -191,27 +204,40 @@ def _nodes(top: np.ndarray, made: np.ndarray, base: int):
     occ_sym = np.concatenate(occ_sym) if occ_sym else np.empty(0, np.int64)
     # Virtual pairs over the top level, level by level.
     v_start, v_len, v_cut = [], [], []
-    level_start, level_len = starts, lengths[top]
-    while len(level_start) > 1:
-        pairs = len(level_start) // 2
-        ls, ll = level_start[: 2 * pairs : 2], level_len[: 2 * pairs : 2]
-        rl = level_len[1 : 2 * pairs : 2]
-        v_start.append(ls)
+    level_start, level_len, doc = starts, lengths[top], np.searchsorted(cuts, starts, "right")
+    while True:
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        place = np.arange(len(doc)) - np.repeat(first, np.diff(first, append=len(doc)))
+        left = np.flatnonzero((place[:-1] % 2 == 0) & (doc[:-1] == doc[1:]))
+        if not len(left):
+            break
+        ll, rl = level_len[left], level_len[left + 1]
+        v_start.append(level_start[left])
         v_len.append(ll + rl)
         v_cut.append(ll)
-        level_start = np.concatenate([ls, level_start[2 * pairs :]])
-        level_len = np.concatenate([ll + rl, level_len[2 * pairs :]])
-    return lengths, occ_pos, occ_sym, v_start, v_len, v_cut
+        level_len = level_len.copy()
+        level_len[left] = ll + rl
+        stays = np.ones(len(doc), bool)
+        stays[left + 1] = False
+        level_start, level_len, doc = level_start[stays], level_len[stays], doc[stays]
+    return occ_pos, occ_sym, v_start, v_len, v_cut
 
 
 def _crossing(h: Hashes, w: np.ndarray, start: np.ndarray, length: np.ndarray, cut: np.ndarray, node: np.ndarray):
     """(node, start, end, period) of periodic stretches crossing each node's boundary, maximal inside it, long enough."""
+    keep = (length >= MIN_LENGTH) & (length >= EXPONENT)
+    start, length, cut, node = start[keep], length[keep], cut[keep], node[keep]
+    # nodes of many periods together are probed in turns of bounded size
+    part = np.cumsum(length // EXPONENT) // PROBES
+    edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(node)]
+    turns = [_probed(h, w, start[a:b], length[a:b], cut[a:b], node[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    out = np.concatenate([np.empty((0, 4), np.int64), *turns])
+    return np.unique(out, axis=0) if len(out) else out
+
+
+def _probed(h: Hashes, w: np.ndarray, start: np.ndarray, length: np.ndarray, cut: np.ndarray, node: np.ndarray):
     found = []
     most = length // EXPONENT
-    keep = (length >= MIN_LENGTH) & (most >= 1)
-    start, length, cut, node, most = start[keep], length[keep], cut[keep], node[keep], most[keep]
-    if not len(node):
-        return np.empty((0, 4), np.int64)
     reps = np.repeat(np.arange(len(node)), most)
     q = np.arange(len(reps)) - np.repeat(np.cumsum(most) - most, most) + 1
     m = start[reps] + cut[reps]
@@ -239,19 +265,29 @@ def _crossing(h: Hashes, w: np.ndarray, start: np.ndarray, length: np.ndarray, c
             mm = m[k]
             good = (s <= mm - 1) & (e >= mm + 1) & (e - s >= np.maximum(MIN_LENGTH, EXPONENT * qq))
             found.append(np.stack([node[reps[k]][good], (s - a)[good], (e - a)[good], qq[good]], axis=1))
-    out = np.concatenate(found) if found else np.empty((0, 4), np.int64)
-    return np.unique(out, axis=0) if len(out) else out
+    return np.concatenate([np.empty((0, 4), np.int64), *found])
 
 
 def find_runs(ids: np.ndarray) -> list[tuple[int, int, int]]:
     """Runs (start, length, period) of an id sequence, ordered by start and period."""
+    return find_all_runs([ids])[0]
+
+
+def find_all_runs(documents: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+    """The runs of each id sequence. Sequences are laid end to end, each with ids of its own."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in documents]
+    sizes = np.array([len(d) for d in documents], np.int64)
+    which_doc = np.flatnonzero(sizes >= MIN_LENGTH)
+    if not len(which_doc):
+        return out
+    kinds = np.array([int(documents[k].max()) + 1 for k in which_doc], np.int64)
+    ids = np.concatenate([documents[k].astype(np.int64) + shift for k, shift in zip(which_doc.tolist(), (np.cumsum(kinds) - kinds).tolist(), strict=True)])
+    cuts = np.cumsum(sizes[which_doc]) - sizes[which_doc]
     n = len(ids)
-    if n < MIN_LENGTH:
-        return []
-    h = Hashes(ids.astype(np.int64) + 1)
-    base = int(ids.max()) + 1
-    top, made = re_pair(ids)
-    lengths, occ_pos, occ_sym, v_start, v_len, v_cut = _nodes(top, made, base)
+    h = Hashes(ids + 1)
+    top, made, lengths = re_pair(ids)
+    base = len(lengths) - len(made)
+    occ_pos, occ_sym, v_start, v_len, v_cut = _nodes(top, made, lengths, cuts)
     runs = []
     # Rules: once each at its first occurrence, then at all occurrences.
     if len(occ_sym):
@@ -273,26 +309,29 @@ def find_runs(ids: np.ndarray) -> list[tuple[int, int, int]]:
         if len(local):
             runs.append(np.stack([vs[local[:, 0]] + local[:, 1], vs[local[:, 0]] + local[:, 2], local[:, 3]], axis=1))
     if not runs:
-        return []
+        return out
     runs = np.unique(np.concatenate(runs), axis=0)
     s, e, q = runs[:, 0], runs[:, 1], runs[:, 2]
     left_open = (s > 0) & (ids[np.maximum(s - 1, 0)] == ids[np.minimum(s - 1 + q, n - 1)])
     right_open = (e < n) & (ids[np.minimum(e, n - 1)] == ids[np.maximum(e - q, 0)])
     runs = runs[~left_open & ~right_open]
-    out = []
-    for s, e, q in runs.tolist():
+    for s, e, q, k in zip(*runs.T.tolist(), (np.searchsorted(cuts, runs[:, 0], "right") - 1).tolist(), strict=True):
         if any(q % d == 0 and h.equal(np.array([s]), np.array([s + d]), np.array([e - s - d]))[0] for d in range(1, q)):
             continue  # a smaller period holds: the run is found with it
-        out.append((s, e - s, q))
-    return sorted(out)
+        out[which_doc[k]].append((s - int(cuts[k]), e - s, q))
+    return [sorted(found) for found in out]
 
 
-def describe(doc_id, text: str | None) -> tuple:
-    """The contract's columns of one document."""
+def prepared(doc_id, text: str | None) -> tuple:
+    """A document's words, which original word stands at each place, and the ids there."""
     words = _WORD.findall(text) if text is not None else []
     index = planted(doc_id, words)
     ids = pd.factorize(np.array(words, dtype=object))[0].astype(np.int64)[index] if words else np.empty(0, np.int64)
-    runs = find_runs(ids)
+    return doc_id, words, index, ids
+
+
+def described(doc_id, words: list[str], index: np.ndarray, ids: np.ndarray, runs: list[tuple[int, int, int]]) -> tuple:
+    """The contract's columns of one document."""
     dropped = np.zeros(len(ids) + 1, np.int64)
     for s, length, q in runs:
         dropped[s + q] += 1
@@ -314,9 +353,22 @@ def describe(doc_id, text: str | None) -> tuple:
     )
 
 
+def _slices(b: pd.DataFrame) -> Iterator[list[tuple]]:
+    """The batch's documents, prepared, some at a time."""
+    held, words = [], 0
+    for d, t in zip(b["doc_id"], b["text"], strict=True):
+        held.append(prepared(None if pd.isna(d) else d, None if t is None or (isinstance(t, float) and pd.isna(t)) else t))
+        words += len(held[-1][3])
+        if words >= SLICE_WORDS:
+            yield held
+            held, words = [], 0
+    if held:
+        yield held
+
+
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [describe(None if pd.isna(d) else d, None if t is None or (isinstance(t, float) and pd.isna(t)) else t) for d, t in zip(b["doc_id"], b["text"], strict=True)]
+        rows = [described(*d, runs) for held in _slices(b) for d, runs in zip(held, find_all_runs([d[3] for d in held]), strict=True)]
         yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _SCHEMA.split(", ")]).astype(
             {"doc_id": "Int64", "start": "Int64", "length": "Int64", "period": "Int64", "exponent_milli": "Int64"}
         )

@@ -103,3 +103,33 @@ def test_query_on_the_table(spark):
     got = {r[0]: tuple(r)[1:] for r in REGISTRY["op13_periodic_runs"](spark, SF).collect()}
     assert got == want
     assert sum(v[0] > 0 for v in got.values()) > 0
+
+
+def expanded(top, made, base):
+    out, todo = [], list(reversed(top.tolist()))
+    while todo:
+        x = todo.pop()
+        if x < base:
+            out.append(x)
+        else:
+            todo += [int(made[x - base][1]), int(made[x - base][0])]
+    return out
+
+
+def test_grammar_is_whole():
+    """Rules are made until no pair occurs twice, however many it takes."""
+    rnd = random.Random(3)
+    passages = [[1000 * k + j for j in range(40)] for k in range(30)]
+    ids = np.array([w for _ in range(80) for w in rnd.choice(passages)] + [7] * 50 + [rnd.randrange(5) for _ in range(500)], np.int64)
+    top, made, lengths = periodic.re_pair(ids)
+    assert expanded(top, made, int(ids.max()) + 1) == ids.tolist()
+    assert len(made) > 500 and len(lengths) == int(ids.max()) + 1 + len(made)
+    seen = {}
+    for i, pair in enumerate(zip(top.tolist(), top.tolist()[1:], strict=False)):
+        assert i - seen.setdefault(pair, i) <= 1, pair
+
+
+def test_documents_together_equal_documents_alone():
+    rnd = random.Random(4)
+    docs = [np.array([rnd.randrange(rnd.choice([1, 2, 30])) for _ in range(rnd.randint(0, 80))], np.int64) for _ in range(200)]
+    assert periodic.find_all_runs(docs) == [direct(d) for d in docs]
