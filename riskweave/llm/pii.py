@@ -3,9 +3,10 @@
 Formats (email, ip, card, phone) are matched as given and checked (Luhn, parts, numbers of digits). Generators of high
 recall then propose further, possibly overlapping spans: spelled-out addresses, numbers without a country code, card-like
 numbers whatever their check digit, long IP addresses. Gradient-boosted trees judge the proposals by format and context.
-They learn from the proposals that agree with a checked format (personal) and from those that neither agree with one
-nor stand near a word of their kind (not personal), the first ``sample`` by hash; an eighth of these is set aside, and
-the threshold is the lowest score from which the precision there is ``precision``. Spans of formats always stay.
+They learn from all proposals that agree with a checked format (personal) and from all that neither agree with one
+nor stand near a word of their kind (not personal), equal ones counted together and weighted by their number; an eighth
+of these, by hash, is set aside, and the threshold is the lowest score from which the precision there is ``precision``.
+Spans of formats always stay.
 
 Everything is built-in functions and Spark's own trees. Expressions are written without backtracking over groups, so
 long runs of digits or letters cost linear time. Places are code points. Defined results: a null or empty text has no
@@ -46,7 +47,6 @@ NEARBY = {
 }
 PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 CONTEXT = 32
-SAMPLE = 20_000
 ROUNDS = 20
 DEPTH = 4
 PRECISION = 0.95
@@ -181,31 +181,36 @@ def with_features(rows: DataFrame) -> DataFrame:
     return rows.select("row", "p", agrees.alias("known"), label.alias("label"), *[v.cast("double").alias(n) for n, v in values.items()])
 
 
-def fit(found: DataFrame, sample: int, rounds: int, precision: float):
+def weighted(found: DataFrame) -> DataFrame:
+    """All labelled proposals, equal ones in one row: ``train`` and ``aside`` say how many of them are on either side."""
+    aside = (F.pmod(F.xxhash64("row", "p.start", "p.kind"), F.lit(8)) == 0).cast("long")
+    rows = found.where("label is not null").groupBy("label", *FEATURES)
+    return rows.agg(F.sum(1 - aside).cast("double").alias("train"), F.sum(aside).alias("aside"))
+
+
+def fit(found: DataFrame, rounds: int, precision: float):
     """The trees and the threshold, or None if the labels are of one class."""
-    key = F.xxhash64("row", "p.start", "p.kind")
-    chosen = found.where("label is not null").select("label", *FEATURES, key.alias("key")).orderBy("key").limit(sample)
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(stored(chosen))
-    train, aside = rows.where("pmod(key, 8) <> 0"), rows.where("pmod(key, 8) = 0")
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(stored(weighted(found)))
+    train, aside = rows.where("train > 0"), rows.where("aside > 0")
     if train.select("label").distinct().count() < 2:
         return None
-    trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=rounds, maxDepth=DEPTH, seed=11).fit(train)
-    # the sample is bounded, and so is this window over its scores
-    score = trees.transform(aside).select("label", F.round(vector_to_array("probability")[1], 6).alias("score"))
-    by_score = score.groupBy("score").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n"))
+    trees = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="train", maxIter=rounds, maxDepth=DEPTH, seed=11).fit(train)
+    # scores have six digits, which bounds this window over them
+    score = trees.transform(aside).select("label", "aside", F.round(vector_to_array("probability")[1], 6).alias("score"))
+    by_score = score.groupBy("score").agg(F.sum(F.col("label") * F.col("aside")).alias("hits"), F.sum("aside").alias("n"))
     down = Window.orderBy(F.desc("score"))
     best = by_score.select("score", (F.sum("hits").over(down) / F.sum("n").over(down)).alias("precision"))
     threshold = best.where(F.col("precision") >= precision).agg(F.min("score")).first()[0]
     return trees, max(0.5, threshold) if threshold is not None else 1.0
 
 
-def find_pii(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, precision: float = PRECISION) -> DataFrame:
+def find_pii(docs: DataFrame, rounds: int = ROUNDS, precision: float = PRECISION) -> DataFrame:
     """(doc_id, base, spans) per document of (doc_id, text): arrays of (start, kind, end), kinds as numbered in KINDS."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     some = docs.select("doc_id", text.alias("text"))
     rows = stored(some.select(F.monotonically_increasing_id().alias("row"), "doc_id", formats(F.col("text")).alias("base"), proposals(F.col("text")).alias("proposals")))
     found = stored(with_features(rows.select("row", "base", F.explode("proposals").alias("p"))))
-    model = fit(found, sample, rounds, precision)
+    model = fit(found, rounds, precision)
     if model is None:
         return rows.select("doc_id", "base", F.col("base").alias("spans"))
     trees, threshold = model

@@ -347,6 +347,17 @@ def test_formats_in_noise(spark):
     assert pii.find_pii(frame(spark, AWKWARD)).count() == len(AWKWARD)
 
 
+def test_trees_learn_from_all_labelled_proposals(spark):
+    """Beyond 20,000 proposals as well, each on one side; equal ones are weighted, not dropped."""
+    rows = spark.range(24_000).select(
+        F.col("id").alias("row"), F.struct(F.col("id").alias("start"), F.lit(3).alias("kind")).alias("p"),
+        F.when(F.col("id") < 1000, F.lit(None)).otherwise(F.col("id") % 2).cast("double").alias("label"),
+        *[(F.col("id") % 7).cast("double").alias(f) for f in pii.FEATURES],
+    )
+    got = pii.weighted(rows).agg(F.count(F.lit(1)), F.sum("train"), F.sum("aside"), F.sum(F.col("label") * (F.col("train") + F.col("aside")))).first()
+    assert got[0] == 14 and got[1] + got[2] == 23_000 and got[2] > 2000 and got[3] == 11_500
+
+
 def test_trees_add_spans_near_words_of_their_kind(spark):
     rows = [(k, f"call +1 (212) 555-{1000 + k} now or pay {k} times") for k in range(200)]
     rows += [(k, f"the numbers {k} {300 + k % 7}-{400 + k % 5}-{5000 + k} were drawn from a table") for k in range(200, 400)]
