@@ -281,22 +281,27 @@ def covered(length: int, keep_first: bool):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            take, low, high = [], [], []
-            columns = [b.column(c).to_pylist() for c in ("at", "most", "least", "copied", "is_first", "states")]
-            for k, (at, most, least, copied, is_first, states) in enumerate(zip(*columns, strict=True)):
-                if states is None:
-                    state = np.full(most - least + 1, FIRST)
-                else:
-                    state = np.frombuffer(states, np.uint8)[least : most + 1][::-1].astype(np.int64)
-                if copied:  # the context's other occurrences come later than its first
-                    state = np.where(state == ALONE, FIRST, state) if is_first else np.full(len(state), LATER)
-                gone = state == LATER if keep_first else state != ALONE
-                edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-                for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    take.append(k)
-                    low.append(at - most + s)
-                    high.append(at - most + e - 1 + length)
-            yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(take, pa.int64())), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["row", "start", "end"])
+            at, most, least = (b.column(c).to_numpy().astype(np.int64) for c in ("at", "most", "least"))
+            copied, is_first = (b.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("copied", "is_first"))
+            bare = b.column("states").is_null().to_numpy(zero_copy_only=False)
+            # all stretches of a copied context go, except those of its first occurrence where that stays
+            whole = copied & ~is_first if keep_first else copied | bare
+            some = np.flatnonzero(~whole & ~bare)
+            take, low, high = [np.flatnonzero(whole)], [(at - most)[whole]], [(at - least)[whole] + length]
+            if len(some):
+                states = np.frombuffer(b"".join(b.column("states").take(pa.array(some)).to_pylist()), np.uint8).reshape(len(some), -1)
+                width = states.shape[1]
+                t = np.arange(width)
+                gone = states == LATER if keep_first else states != ALONE
+                gone = (gone & (t >= least[some, None]) & (t <= most[some, None]))[:, ::-1]
+                edge = np.diff(np.pad(gone.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+                k, s = np.nonzero(edge == 1)
+                e = np.nonzero(edge == -1)[1]
+                take.append(some[k])
+                low.append(at[some[k]] - (width - 1 - s))
+                high.append(at[some[k]] - (width - e) + length)
+            take, low, high = (np.concatenate(x) for x in (take, low, high))
+            yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(take)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["row", "start", "end"])
 
     return rows
 
