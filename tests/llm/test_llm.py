@@ -452,8 +452,9 @@ def test_spans_of_many_anchors_at_once(keep_first):
     types = [pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.bool_(), pa.bool_(), pa.binary()]
     batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
     start = time.process_time()
-    got = sorted(tuple(x.values()) for b in repeats.covered(200, keep_first)(iter([batch])) for x in b.to_pylist())
+    found = list(repeats.covered(200, keep_first)(iter([batch])))
     taken = time.process_time() - start
+    got = sorted(tuple(x.values()) for b in found for x in b.to_pylist())
     want = []
     for k, at, most, least, copied, is_first, states in rows:
         goes = set()
