@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, send_by_value, shuffle_width
+from ..session import ensure_checkpoint_dir, remove_folder, send_by_value, shuffle_width
 
 #: Texts are worked on in slices of about this many bytes, so that a worker's memory doesn't follow the batch.
 SLICE_BYTES = 1 << 22
@@ -31,10 +33,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: Folders of the tables that the innermost ``scratch`` removes.
+_folders: ContextVar[list[str] | None] = ContextVar("folders", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are removed at the end, except those stored with ``keep``, from which alone results may read."""
+    folders: list[str] = []
+    token = _folders.set(folders)
+    try:
+        yield
+    finally:
+        _folders.reset(token)
+        for path in folders:
+            remove_folder(spark, path)
+
+
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """The rows written once to the shared checkpoint folder: compressed, columnar, whole after a lost executor."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
+    folders = _folders.get()
+    if folders is not None and not keep:
+        folders.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import send_by_value
-from .common import buffer, hashes, owner, runs, slices, stored
+from .common import buffer, hashes, owner, runs, scratch, slices, small, stored
 
 WINDOW = 10
 #: Bytes of text in a shard.
@@ -262,5 +262,7 @@ def text_key(text):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents without a match. Whether a text matches depends on the text alone, so texts tell rows apart."""
     keyed = docs.select(text_key(F.col("text")).alias("doc_id"), "text")
-    bad = contaminated(keyed, benchmark, size).where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", text_key(F.col("text"))).join(bad, "_key", "left_anti").select(*docs.columns)
+    with scratch(docs.sparkSession):
+        bad = stored(contaminated(keyed, benchmark, size).where("contaminated").select(F.col("doc_id").alias("_key")).distinct(), keep=True)
+    # texts are far longer than the list of those that go
+    return docs.withColumn("_key", text_key(F.col("text"))).join(small(bad), "_key", "left_anti").select(*docs.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import send_by_value, shuffle_width
-from .common import buffer, grams, hashes, mix, runs, slices, small, stored
+from .common import buffer, grams, hashes, mix, runs, scratch, slices, small, stored
 
 #: Ratio of neighbouring band borders.
 BAND = 1.5
@@ -209,7 +209,9 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for all nodes of links (a, b): the smallest node reachable.
 
     Each round a node's links are turned to point at its smallest neighbour, and that neighbour at them."""
+    marks = lambda x: x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
     edges = stored(links.where("a <> b"))
+    before = marks(edges)
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
@@ -220,10 +222,11 @@ def components(links: DataFrame) -> DataFrame:
         small = turned.groupBy("a").agg(F.min("b").alias("low"))
         nxt = turned.join(small, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
         nxt = stored(nxt.where("a <> b").distinct())
-        stats = [x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first() for x in (edges, nxt)]
+        after = marks(nxt)
         edges = nxt
-        if stats[0] == stats[1]:
+        if before == after:
             break
+        before = after
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
@@ -325,15 +328,18 @@ def second_round(members: DataFrame, sets: DataFrame, roots: DataFrame, percent:
 def blocks(rows: DataFrame, fetched: DataFrame, percent: int, want: str) -> DataFrame:
     """What ``block_links`` finds in tiles. ``fetched`` has what rows bring along, by set."""
     place = Window.partitionBy("tile").orderBy("size", "set")
-    rows = rows.withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK)).withColumn("blocks", F.ceil(F.col("members") / BLOCK))
+    # counted here: of a tile's members only some may be left, and blocks that nobody is in must not be met
+    held = F.count(F.lit(1)).over(Window.partitionBy("tile"))
+    rows = rows.withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK)).withColumn("blocks", F.ceil(held / BLOCK))
+    rows = rows.join(fetched, "set")
     # a block meets itself and every other one: side 0 is the lower of the two, 1 the higher, 2 both
     k, b = F.col("k"), F.col("block")
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select(
         F.xxhash64("tile", F.least(k, b), F.greatest(k, b)).alias("block"),
         F.when(k == b, 2).when(b < k, 0).otherwise(1).cast("int").alias("side"),
-        "tile", "set", "size", "root",
-    ).join(fetched, "set")
+        "tile", "set", "size", "root", *[c for c in fetched.columns if c != "set"],
+    )
     dealt = rows.repartition(shuffle_width(rows.sparkSession), "block").sortWithinPartitions("block", "side")
     return dealt.mapInArrow(block_links(percent, want), "a long, b long").distinct()
 
@@ -403,12 +409,13 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents, one of each component: the one with the smallest id.
 
     Rows that share an id stay or go together, but equal rows among them are kept once."""
-    rows = groups(docs, n, percent).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"),
-    )
-    # most documents stay alone: those that go, and the ids that repeat, are the shorter list
-    rows = stored(rows.where("n > 1 or not stays").select(F.col("doc_id").alias("_id"), "n", "stays"))
+    with scratch(docs.sparkSession):
+        rows = groups(docs, n, percent).groupBy("doc_id").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"),
+        )
+        # most documents stay alone: those that go, and the ids that repeat, are the shorter list
+        rows = stored(rows.where("n > 1 or not stays").select(F.col("doc_id").alias("_id"), "n", "stays"), keep=True)
     match = F.col("doc_id").eqNullSafe(F.col("_id"))
     once = docs.join(small(rows.select("_id")), match, "left_anti")
     return once.unionByName(docs.join(small(rows.where("stays").select("_id")), match, "left_semi").dropDuplicates())

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import send_by_value
-from .common import buffer, slices, stored
+from .common import buffer, scratch, slices, small, stored
 
 SAMPLE = 20_000
 TREES = 40
@@ -282,10 +282,12 @@ def find_secrets(docs: DataFrame, threshold: float = THRESHOLD, labelled: DataFr
 def redact(docs: DataFrame, path, mask: str = MASK) -> DataFrame:
     """The documents with each secret replaced; ``path`` is a column expression."""
     keyed = docs.withColumn("_key", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
-    found = find_secrets(keyed.select(F.struct("_key", path.alias("path")).alias("doc_id"), path.alias("path"), "text"))
-    spans = found.where("is_secret").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    spans = spans.select(F.col("doc_id._key").alias("_k"), F.col("doc_id.path").alias("_p"), "_spans")
-    met = keyed.withColumn("_path", path).join(spans, (F.col("_key") == F.col("_k")) & F.col("_path").eqNullSafe(F.col("_p")), "left")
+    with scratch(docs.sparkSession):
+        found = find_secrets(keyed.select(F.struct("_key", path.alias("path")).alias("doc_id"), path.alias("path"), "text"))
+        spans = found.where("is_secret").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+        spans = stored(spans.select(F.col("doc_id._key").alias("_k"), F.col("doc_id.path").alias("_p"), "_spans"), keep=True)
+    # texts are far longer than the list of their secrets
+    met = keyed.withColumn("_path", path).join(small(spans), (F.col("_key") == F.col("_k")) & F.col("_path").eqNullSafe(F.col("_p")), "left")
     piece = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))
     kept = F.transform("_spans", lambda s, i: piece(F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(F.col("_spans"), i - 1)["end"]), s.start))
     tail = piece(F.element_at("_spans", -1)["end"], F.length("text").cast("long"))

@@ -466,3 +466,46 @@ def test_spans_of_many_anchors_at_once(keep_first):
         want += [(k, p, next(q for q in range(p, p + 200) if q + 1 not in goes) + 200) for p in sorted(goes) if p - 1 not in goes]
     assert got == sorted(want)
     assert taken < 0.3
+
+
+def test_blocks_count_the_members_that_are_left(spark, monkeypatch):
+    def rows_met(percent, want):
+        def show(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column("set"), b.column("block")], ["a", "b"])
+
+        return show
+
+    monkeypatch.setattr(jaccard_join, "block_links", rows_met)
+    # 40 of a tile's 5,000 members are left: one block, not ten
+    rows = spark.range(40).select(F.lit(1).cast("long").alias("tile"), F.lit(5000).cast("long").alias("members"), F.col("id").alias("set"), F.col("id").alias("root"), F.lit(9).cast("long").alias("size"))
+    assert jaccard_join.blocks(rows, spark.range(40).select(F.col("id").alias("set"), F.lit(b"1").alias("bits")), 80, "members").count() == 40
+    # 600 members are two blocks: each row meets both
+    more = spark.range(600).select(F.lit(1).cast("long").alias("tile"), F.lit(600).cast("long").alias("members"), F.col("id").alias("set"), F.col("id").alias("root"), F.lit(9).cast("long").alias("size"))
+    assert jaccard_join.blocks(more, spark.range(600).select(F.col("id").alias("set"), F.lit(b"1").alias("bits")), 80, "members").count() == 1200
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stages_leave_short_lists_and_do_not_shuffle_texts(spark, no_broadcast):
+    shared = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, shared), (2, shared + " end"), (3, "password=correctHorseBattery9 and more"), (4, None), (None, shared), (5, "alone in the world")]
+    d = frame(spark, rows)
+    bench = spark.createDataFrame([("b", " ".join(f"w{k}" for k in range(10)))], "item_id string, text string")
+    shared_folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    stages = [
+        (lambda: jaccard_join.keep_first(d, 5, 80), {1, 3, 4, 5}),
+        (lambda: decontaminate.drop_contaminated(d, bench), {3, 4, 5}),
+        (lambda: secrets.redact(d, F.col("source")), {1, 2, 3, 4, None, 5}),
+    ]
+    for stage, want in stages:
+        before = set(shared_folder.glob("llm-*"))
+        out = stage()
+        assert len(set(shared_folder.glob("llm-*")) - before) == 1
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {r.doc_id for r in out.collect()} - {None} == want - {None}
