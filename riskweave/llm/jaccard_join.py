@@ -14,7 +14,9 @@ one row. Classes meet in tiles:
 4. *Second round.* Tiles that still hold several components are compared in blocks of bounded size, pairs of one
    component left out. Bitmaps of hashed elements come first: the bits of A missing in B are elements missing in B, which
    bounds the overlap from above. Pairs that stand this are intersected exactly, as sorted arrays: for small tiles
-   in a join of the distinct pairs, in large ones on the spot, where a link joins components at once.
+   in a join of the distinct pairs. Large tiles, which share most of their members, name links enough to join what
+   stands the bitmaps into groups; a set brings its elements once to its group, not to each of its tiles (unless the
+   tiles are less to lay out), and there pairs are tested on the spot, where a link joins components at once.
 
 Elements are 64-bit hashes of n-grams, classes 64-bit hashes of sets. Defined results: a document without text or words
 has an empty set and links with nothing; one with fewer words than n has its whole sequence as its only element; repeated
@@ -245,9 +247,9 @@ def elements_of(n: int):
 def block_links(percent: int, want: str):
     """Rows of tiles' blocks, sorted by block, to what stands the bitmaps (a, b).
 
-    ``pairs``: the pairs. ``members``: each tile with those members that are in such a pair. ``links``: rows bring their
-    elements, the pairs are intersected, and a link joins the components of both, so no more links come out of a block
-    than it has members."""
+    ``pairs``: the pairs. ``members``: so many of them that they join the members of all such pairs, fewer than a block
+    has members. ``links``: rows bring their elements, the pairs are intersected, and a link joins the components of
+    both, so no more links come out of a block than it has members."""
     exact = want == "links"
 
     def tile_links(x: pa.Table) -> pa.RecordBatch:
@@ -264,7 +266,7 @@ def block_links(percent: int, want: str):
         width = min(map(len, bits))
         maps = np.stack([folded(b, width) for b in bits])
         place = np.arange(len(size))
-        close = np.zeros(len(size), bool)
+        group = np.arange(len(size))
         low, high = [], []
         for i in np.flatnonzero(side != 1).tolist():
             other = place[(side == 1) if side[i] == 0 else (place > i)]
@@ -277,7 +279,12 @@ def block_links(percent: int, want: str):
                 stand = (size[i] - missing >= need) & (size[other] - extra >= need)
                 other, need = other[stand], need[stand]
             if want == "members" and len(other):
-                close[i] = close[other] = True
+                # one member of each group that isn't joined yet
+                met, first = np.unique(group[other], return_index=True)
+                new = other[first[met != group[i]]]
+                low += np.minimum(name[i], name[new]).tolist()
+                high += np.maximum(name[i], name[new]).tolist()
+                group[np.isin(group, met)] = group[i]
             if want == "pairs":
                 low += np.minimum(name[i], name[other]).tolist()
                 high += np.maximum(name[i], name[other]).tolist()
@@ -292,8 +299,6 @@ def block_links(percent: int, want: str):
                     root[root == root[j]] = root[i]
                     low.append(min(name[i], name[j]))
                     high.append(max(name[i], name[j]))
-        if want == "members":
-            return pa.RecordBatch.from_arrays([pa.array(x.column("tile").to_numpy()[close]), pa.array(name[close])], ["a", "b"])
         return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,6 +349,19 @@ def blocks(rows: DataFrame, fetched: DataFrame, percent: int, want: str) -> Data
     return dealt.mapInArrow(block_links(percent, want), "a long, b long").distinct()
 
 
+def by_group(many: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Rows of large tiles (tile, set, size, root) whose sets are in a group (set, group), under the group as their tile.
+
+    A group that would take more rows in its blocks than its parts of the tiles do in theirs stays in those parts."""
+    laid = lambda n: n * F.ceil(n / BLOCK)
+    rows = stored(many.join(grouped, "set").select("group", "tile", "set", "size", "root"))
+    parts = rows.groupBy("group", "tile").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.sum(laid(F.col("n"))).alias("apart"))
+    whole = rows.select("group", "set").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("n")).join(parts, "group")
+    whole = small(stored(whole.where(laid(F.col("n")) <= F.col("apart")).select("group", F.col("group").alias("whole"))))
+    rows = rows.join(whole, "group", "left")
+    return rows.select(F.coalesce("whole", F.xxhash64("group", "tile")).alias("tile"), "set", "size", "root").distinct()
+
+
 def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, set, size) and components (node, root) of their sets, from (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -374,8 +392,8 @@ def link(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     near = stored(blocks(few, bits, percent, "pairs").join(pairs, ["a", "b"], "left_anti"))
     both = texts(near.select(F.explode(F.array("a", "b")).alias("set")).distinct())
     # most members of large tiles share a passage and no more; only the others bring their elements
-    close = stored(blocks(many, bits, percent, "members").toDF("tile", "set"))
-    many = many.join(close, ["tile", "set"], "left_semi")
+    grouped = components(blocks(many, bits, percent, "members")).toDF("set", "group")
+    many = stored(by_group(many, grouped))
     elements = texts(many.select("set").distinct()).mapInArrow(elements_of(n), "set long, elements binary")
     more = stored(verified(near, stored(both), n, percent).unionByName(blocks(many, bits.join(elements, "set"), percent, "links")))
     if not more.isEmpty():

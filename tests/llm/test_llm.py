@@ -485,6 +485,38 @@ def test_blocks_count_the_members_that_are_left(spark, monkeypatch):
     assert jaccard_join.blocks(more, spark.range(600).select(F.col("id").alias("set"), F.lit(b"1").alias("bits")), 80, "members").count() == 1200
 
 
+def test_elements_come_once_to_a_group_that_shares_many_tiles(spark, monkeypatch):
+    laid, plain = [], jaccard_join.blocks
+
+    def seen(rows, fetched, percent, want):
+        if want == "links":
+            laid.append((rows.count(), rows.select("set").distinct().count()))
+        return plain(rows, fetched, percent, want)
+
+    monkeypatch.setattr(jaccard_join, "blocks", seen)
+    r = random.Random(6)
+    base, rows = [f"w{k}" for k in range(200)], []
+    for k in range(0, 100, 2):  # all stand the bitmaps with each other, in dozens of tiles; only neighbours link
+        w = list(base)
+        for j in r.sample(range(5, 195), 4):
+            w[j] = f"x{k}-{j}"
+        rows += [(k, " ".join(w)), (k + 1, " ".join([*w, "more"]))]
+    assert by_id(jaccard_join.groups(frame(spark, rows), 4, 80)) == brute.components(rows, 4, 80)
+    assert laid[0][0] == laid[0][1] > 32
+
+
+def test_groups_that_would_take_more_rows_stay_in_their_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    copied = [(t, s) for t in (1, 2, 3) for s in range(5)]
+    chain = [(t, s) for t, own in ((4, range(10, 15)), (5, range(15, 20))) for s in own]
+    many = spark.createDataFrame([(t, s, 9, s) for t, s in [*copied, *chain, (1, 99)]], "tile long, set long, size long, root long")
+    grouped = spark.createDataFrame([(s, 0 if s < 5 else 10) for s in [*range(5), *range(10, 20)]], "set long, group long")
+    got = {}
+    for x in jaccard_join.by_group(many, grouped).collect():
+        got.setdefault(x.tile, []).append(x.set)
+    assert sorted(sorted(x) for x in got.values()) == [list(range(5)), list(range(10, 15)), list(range(15, 20))]
+
+
 @pytest.fixture
 def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
