@@ -125,15 +125,45 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+#: Powers are kept up to this exponent and for its multiples, so that a worker keeps no table as long as a slice.
+_STEP = 1 << 16
+
+
+def power(base: int, at: np.ndarray) -> np.ndarray:
+    """The base to each exponent."""
+    far = _powers(1 << (int(at.max(initial=0)) // _STEP).bit_length(), pow(base, _STEP, 1 << 64))
+    with np.errstate(over="ignore"):
+        out = _powers(_STEP, base)[at % _STEP]
+        out *= far[at // _STEP]
+        return out
+
+
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """The sum of all bytes before each place, each plus one and times the power of its place."""
+    near, far = _powers(_STEP, _BASE), power(_BASE, np.arange(0, len(data) or 1, _STEP))
+    total = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k, x in zip(range(0, len(data), _STEP), far, strict=False):
+            part = total[k + 1 : k + 1 + _STEP]
+            part += data[k : k + _STEP]
+            part += np.uint64(1)
+            part *= near[: len(part)]
+            part *= x
+            np.cumsum(part, out=part)
+            part += total[k]
+    return total
+
+
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte range; equal ranges have equal hashes wherever they lie."""
     if not len(start):
         return np.empty(0, np.uint64)
-    room = max(SLICE_BYTES * 2, 1 << int(len(data)).bit_length())
+    total = prefix_sums(data)
     with np.errstate(over="ignore"):
-        total = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(room, _BASE)[: len(data)], dtype=np.uint64)
-        total = np.concatenate([np.zeros(1, np.uint64), total])
-        return mix((total[end] - total[start]) * _powers(room, _INVERSE)[start])
+        h = total[end]
+        h -= total[start]
+        h *= power(_INVERSE, start)
+        return mix(h)
 
 
 def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

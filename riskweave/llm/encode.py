@@ -8,7 +8,7 @@ gives the ids that ``tokenizers`` gives; very long pieces are encoded by ``token
 from __future__ import annotations
 
 import json
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,6 @@ class Pieces:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -58,11 +57,18 @@ class Pieces:
         ranks = {bytes(letters[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        self.slow = Tokenizer.from_file(path)
+        self.path = path
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
         for word, i in ranks.items():
             self.width[i] = len(word)
 
+    @cached_property
+    def slow(self):
+        """``tokenizers`` itself, loaded with the first very long piece."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def one(self, piece: bytes) -> list[int]:
         text = piece.decode("utf-8")
         if len(piece) >= LONG_PIECE:
@@ -74,8 +80,8 @@ class Pieces:
 
         Pieces that begin with a space and end with something else are encoded as one text: it is cut
         between them again. The widths of the tokens tell where."""
-        marked = np.concatenate([np.zeros(1, np.int64), np.cumsum(data == 60)])
-        plain = (data[start] == 32) & ~space_before(data, end) & (end - start < LONG_PIECE) & (marked[end] == marked[start])
+        marked = np.flatnonzero(data == 60)
+        plain = (data[start] == 32) & ~space_before(data, end) & (end - start < LONG_PIECE) & (np.searchsorted(marked, end) == np.searchsorted(marked, start))
         odd = np.flatnonzero(~plain)
         own = [self.one(data[start[k] : end[k]].tobytes()) for k in odd]
         size = np.zeros(len(start), np.int64)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -15,7 +16,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from riskweave.llm import backoff, decontaminate, jaccard_join, licenses, packing, pii, quality, repeats, secrets
+from riskweave.llm import backoff, common, decontaminate, encode, jaccard_join, licenses, packing, pii, quality, repeats, secrets
 from riskweave.llm.queries import REGISTRY
 from riskweave.llm.token_counts import count_tokens
 from tests.conftest import SF
@@ -541,3 +542,34 @@ def test_stages_leave_short_lists_and_do_not_shuffle_texts(spark, no_broadcast):
         assert len(set(shared_folder.glob("llm-*")) - before) == 1
         assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
         assert {r.doc_id for r in out.collect()} - {None} == want - {None}
+
+
+def test_hashes_keep_no_table_as_long_as_a_slice():
+    r = np.random.default_rng(5)
+    data = r.integers(0, 256, 3 << 20, np.uint8)
+    start = r.integers(0, len(data), 2000)
+    end = np.minimum(start + r.integers(0, 40, 2000), len(data))
+    data[-50:] = data[:50]
+    start, end = np.append(start, [0, len(data) - 50]), np.append(end, [50, len(data)])
+    common._powers.cache_clear()
+    tracemalloc.start()
+    h = common.hashes(data, start, end)
+    kept, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 1 << 22 and most < 12 * len(data)
+    assert h[-1] == h[-2] and len(set(h.tolist())) == len({data[a:b].tobytes() for a, b in zip(start, end, strict=True)})
+
+    def plain(a: int, b: int) -> int:
+        return sum((int(x) + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, x in enumerate(data[a:b].tolist())) % (1 << 64)
+
+    some = slice(0, 50)
+    assert h[some].tolist() == common.mix(np.array([plain(a, b) for a, b in zip(start[some], end[some], strict=True)], np.uint64)).tolist()
+
+
+def test_the_second_tokenizer_is_loaded_with_the_first_very_long_piece():
+    known = encode.Pieces(TOKENIZER)
+    known.one(b" word")
+    assert "slow" not in vars(known)
+    long = "é<" * 300
+    assert known.one(long.encode()) == Tokenizer.from_file(TOKENIZER).encode(long, add_special_tokens=False).ids
+    assert "slow" in vars(known)
