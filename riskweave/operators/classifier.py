@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,6 +85,59 @@ def split_by_class(df: DataFrame, cfg: RiskConfig, label: str = LABEL, held_out:
     return both.where(~F.col("_held")).drop(*helper), both.where(F.col("_held")).drop(*helper)
 
 
+#: Bins of a feature, and rows from which their borders are found: what Spark's fit takes by default.
+BINS, BORDER_ROWS = 32, 10_000
+#: Grouped rows in a partition, at most on average.
+PART_ROWS = 500_000
+
+
+def borders(values: list[tuple[float, int]], bins: int) -> list[float]:
+    """Thresholds between counted values, by the rule of Spark's trees: midpoints where a bin's share of the rows is reached."""
+    values = sorted(values)
+    middle = [(a + b) / 2 for (a, _), (b, _) in zip(values, values[1:], strict=False)]
+    if len(middle) >= bins:
+        stride = sum(n for _, n in values) / bins
+        so_far, target, some = 0, stride, []
+        for (_, n), (_, following), between in zip(values, values[1:], middle, strict=False):
+            so_far += n
+            if abs(so_far - target) < abs(so_far + following - target):
+                some.append(between)
+                target += stride
+        middle = some
+    return sorted({t for t in middle if t < math.inf})
+
+
+def binned_by(training: DataFrame, columns: list[str], seed: int) -> Bucketizer:
+    """The stage that replaces each feature by the number of its thresholds below it."""
+    n = training.count()
+    sample = training if n <= BORDER_ROWS else training.sample(BORDER_ROWS / n, seed)
+    # a negative zero is a zero
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col(c) + F.lit(0.0)).alias("x")) for k, c in enumerate(columns)]))
+    found: list[list] = [[] for _ in columns]
+    for r in sample.select(pairs.alias("v")).groupBy("v.k", "v.x").count().collect():
+        found[r["k"]].append((r["x"], r["count"]))
+    splits = []
+    for values in found:
+        # a bucket starts at its lower end, a bin behind its threshold; a feature of one value needs some border above it
+        inner = borders(values, min(BINS, n)) or [max((x for x, _ in values if x < math.inf), default=0.0)]
+        splits.append([-math.inf, *[math.nextafter(t, math.inf) for t in inner], math.inf])
+    return Bucketizer(splitsArray=splits, inputCols=columns, outputCols=[c + "_bin" for c in columns])
+
+
+def grouped(training: DataFrame, bins: Bucketizer) -> DataFrame:
+    """Rows of equal bins and label as one, with their number as its weight.
+
+    Trees see no more of a feature than its bin, and rows of equal bins and label have equal residuals in every round, so
+    the sums are the same, over fewer rows. They are spread evenly, as each round passes over them once per level."""
+    spark = training.sparkSession
+    names = [*bins.getOutputCols(), "label"]
+    # the bucketizer marks its columns as categories; these are ordered numbers, which a sum forgets
+    rows = bins.transform(training).select(*[(F.col(c) + F.lit(0.0)).alias(c) for c in names[:-1]], "label").groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+    rows = materialize(rows)
+    cores = spark.sparkContext.defaultParallelism
+    return materialize(rows.repartition(cores * (-(-rows.count() // (cores * PART_ROWS)) or 1), *names))
+
+
 def train_classifier(df: DataFrame, cfg: RiskConfig, label: str = LABEL) -> Training:
     """Fit on 80 % of each class of the labelled rows, judge on the rest."""
     if label not in df.columns:
@@ -92,19 +146,23 @@ def train_classifier(df: DataFrame, cfg: RiskConfig, label: str = LABEL) -> Trai
     keep = ["transaction_id"] if "transaction_id" in df.columns else []
     rows = _inputs(df).select(*keep, *columns, F.col(label).cast("double").alias("label"))
     training, validation = split_by_class(materialize(rows), cfg, "label")
+    bins = binned_by(training, columns, cfg.seed)
     steps = [
-        VectorAssembler(inputCols=columns, outputCol="_features"),
+        VectorAssembler(inputCols=bins.getOutputCols(), outputCol="_features"),
         GBTClassifier(
             featuresCol="_features",
             labelCol="label",
+            weightCol="_weight",
+            maxBins=BINS,
             maxIter=cfg.boost_rounds,
             maxDepth=cfg.boost_depth,
             stepSize=cfg.boost_rate,
             seed=cfg.seed,
         ),
     ]
-    model = Pipeline(stages=steps).fit(training)
-    judged = model.transform(validation)
+    fitted = Pipeline(stages=steps).fit(grouped(training, bins))
+    model = PipelineModel([bins, *fitted.stages])
+    judged = materialize(model.transform(validation).select("label", "prediction", "rawPrediction"))
     accuracy = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy").evaluate(judged)
     area = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderPR").evaluate(judged)
     return Training(model, accuracy, area)
