@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -10,6 +11,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +87,7 @@ def split_by_class(df: DataFrame, cfg: RiskConfig, label: str = LABEL, held_out:
     return both.where(~F.col("_held")).drop(*helper), both.where(F.col("_held")).drop(*helper)
 
 
-#: Bins of a feature, and rows from which their borders are found: what Spark's fit takes by default.
+#: Bins of a feature, and rows from which Spark's fit finds their borders in a sample: its defaults.
 BINS, BORDER_ROWS = 32, 10_000
 #: Grouped rows in a partition, at most on average.
 PART_ROWS = 500_000
@@ -107,6 +109,22 @@ def borders(values: list[tuple[float, int]], bins: int) -> list[float]:
     return sorted({t for t in middle if t < math.inf})
 
 
+def drawn_borders(training: DataFrame, column: str, known: list[float], seed: int) -> list[float]:
+    """The thresholds that Spark's fit draws for a feature of many rows: it samples rows by the seed and their layout only.
+
+    A tree that learns the place of a value among ``known`` ones from the value alone splits at every threshold."""
+    low = sorted(x for x in set(known) if -math.inf < x < math.inf)
+    if len(low) < 2:
+        return []
+    steps = [
+        Bucketizer(splits=[-math.inf, *low[1:], math.inf], inputCol=column, outputCol="_place"),
+        VectorAssembler(inputCols=[column], outputCol="_value"),
+        DecisionTreeRegressor(featuresCol="_value", labelCol="_place", maxBins=BINS, maxDepth=30, seed=seed),
+    ]
+    tree = Pipeline(stages=steps).fit(training.select(column)).stages[-1]
+    return sorted({float(t) for t in re.findall(r"If \(feature 0 <= (\S+)\)", tree.toDebugString)})
+
+
 def binned_by(training: DataFrame, columns: list[str], seed: int) -> Bucketizer:
     """The stage that replaces each feature by the number of its thresholds below it."""
     n = training.count()
@@ -117,9 +135,10 @@ def binned_by(training: DataFrame, columns: list[str], seed: int) -> Bucketizer:
     for r in sample.select(pairs.alias("v")).groupBy("v.k", "v.x").count().collect():
         found[r["k"]].append((r["x"], r["count"]))
     splits = []
-    for values in found:
+    for c, values in zip(columns, found, strict=True):
         # a bucket starts at its lower end, a bin behind its threshold; a feature of one value needs some border above it
-        inner = borders(values, min(BINS, n)) or [max((x for x, _ in values if x < math.inf), default=0.0)]
+        inner = borders(values, min(BINS, n)) if n <= BORDER_ROWS else drawn_borders(training, c, [x for x, _ in values], seed)
+        inner = inner or [max((x for x, _ in values if x < math.inf), default=0.0)]
         splits.append([-math.inf, *[math.nextafter(t, math.inf) for t in inner], math.inf])
     return Bucketizer(splitsArray=splits, inputCols=columns, outputCols=[c + "_bin" for c in columns])
 
@@ -146,6 +165,7 @@ def train_classifier(df: DataFrame, cfg: RiskConfig, label: str = LABEL) -> Trai
     keep = ["transaction_id"] if "transaction_id" in df.columns else []
     rows = _inputs(df).select(*keep, *columns, F.col(label).cast("double").alias("label"))
     training, validation = split_by_class(materialize(rows), cfg, "label")
+    training = materialize(training)
     bins = binned_by(training, columns, cfg.seed)
     steps = [
         VectorAssembler(inputCols=bins.getOutputCols(), outputCol="_features"),
